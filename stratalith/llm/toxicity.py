@@ -8,7 +8,7 @@ document, are clean. The field's emissions are sums of hashed feature weights,
 its transitions a 2x2 matrix; both are trained by gradient ascent of the
 conditional likelihood. Forward-backward marginals give each token's
 probability; a document's score is a logistic function, fitted on the training
-documents, of the log of its expected number of toxic tokens (-sum log(1-p)).
+documents, of the log of its summed evidence (-sum p log(1-p)).
 
 Training reads a bounded sample of labelled rows (`max_docs` documents of at
 most `max_chars` characters) on the driver. Scoring is one pass over whole
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalith.llm.keys import table
-from stratalith.llm.words import WORDISH, Words, buffers, chunks
+from stratalith.llm.words import WORDISH, Words, buffers, chunks, mix, sequence_hashes
 
 BITS = 18
 PREFIXES = (0, 3, 4, 5, 6)  # 0: the whole word
@@ -107,11 +107,11 @@ def _starts(w: Words) -> np.ndarray:
     return first
 
 
-def token_labels(feats: np.ndarray, row: np.ndarray, toxic: np.ndarray, least: float = 12.0) -> np.ndarray:
-    """Weak token labels from document labels: by the likelihood ratio (G) of a feature's document counts."""
-    n_pos, n_neg, size = int(toxic.sum()), int((~toxic).sum()), 1 << BITS
-    marks = np.zeros(size, bool)
+def token_labels(feats: np.ndarray, row: np.ndarray, toxic: np.ndarray, counted: np.ndarray, least: float = 35.0) -> np.ndarray:
+    """Weak token labels from document labels: by the likelihood ratio (G) of a feature's counts over the `counted` documents."""
+    n_pos, n_neg, size = int((toxic & counted).sum()), int((~toxic & counted).sum()), 1 << BITS
     pair = np.unique(np.concatenate([row.astype(np.int64) * size + f for f in feats]))
+    pair = pair[counted[pair // size]]
     doc, feat = pair // size, pair % size
     a = np.bincount(feat[toxic[doc]], minlength=size).astype(float)
     b = np.bincount(feat[~toxic[doc]], minlength=size).astype(float)
@@ -122,7 +122,23 @@ def token_labels(feats: np.ndarray, row: np.ndarray, toxic: np.ndarray, least: f
     return marks[feats].any(axis=0) & toxic[row]
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, fit_docs: int = 1500) -> Field:
+def first_of_copies(w: Words, seeds: int = 8, shingle: int = 3) -> np.ndarray:
+    """Whether a text shares no minimum of its shingles' hashes with an earlier one: copies are no independent evidence."""
+    h, ok = sequence_hashes(w.hashes(), shingle), w.whole(shingle)
+    first, seen = np.ones(w.rows, bool), [set() for _ in range(seeds)]
+    least = np.full((seeds, w.rows), np.uint64(2**64 - 1))
+    for k in range(seeds):
+        np.minimum.at(least[k], w.row[ok], mix(h[ok], 1000 + k))
+    for r in range(w.rows):
+        keys = least[:, r].tolist()
+        if w.count[r] >= shingle:
+            first[r] = not any(x in s for x, s in zip(keys, seen))
+            for x, s in zip(keys, seen):
+                s.add(x)
+    return first
+
+
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, fit_docs: int = 1000) -> Field:
     """Fit field and document score; texts in lower case. With no toxic or no clean document the score is the base rate."""
     field = Field(np.zeros(1 << BITS), -6.0, np.array([[1.0, 0.02], [0.7, 0.3]]), 0.02)
     if not len(texts) or toxic.all() or not toxic.any():
@@ -131,7 +147,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, fit_docs: int =
         return field
     w = _texts(texts)
     feats, first = features(w), _starts(w)
-    y = token_labels(feats, w.row, toxic)
+    y = token_labels(feats, w.row, toxic, first_of_copies(w))
     # the field is fitted on the first documents of either label (they come in hashed order)
     order = np.argsort(np.concatenate([np.arange(toxic.sum()), np.arange((~toxic).sum())])[np.argsort(np.argsort(~toxic, kind="stable"), kind="stable")], kind="stable")
     use = np.zeros(len(texts), bool)
@@ -179,8 +195,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, fit_docs: int =
 
 
 def evidence(p: np.ndarray, w: Words) -> np.ndarray:
-    """Log of the expected number of toxic tokens, of each text."""
-    loss = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-9)))])
+    """Log of the summed evidence -p log(1-p), of each text: near-certain tokens count, many faint ones don't add up."""
+    loss = np.concatenate([[0.0], np.cumsum(-p * np.log1p(-np.minimum(p, 1 - 1e-9)))])
     return np.log(np.maximum(loss[w.first + w.count] - loss[w.first], 0) + 1e-3)
 
 
