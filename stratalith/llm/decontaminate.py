@@ -78,14 +78,16 @@ class Class:
             self.order.append(order)
             self.sieve.append(sieve)
         self.budget = [int(max_edit * len(w)) for _, w in items]
-        self.sorted = [np.sort(w) for _, w in items]
+        self.seen = np.zeros((len(items), 1 << 12), bool)  # which words an item may hold, by 12 bits of the hash
+        for i, (_, w) in enumerate(items):
+            self.seen[i, (w & U64(4095)).astype(np.int64)] = True
 
     def candidates(self, w: Words, h: np.ndarray) -> np.ndarray:
-        """Rows of (item, place in the text where it would start), no row twice."""
+        """Rows of (item, word where it would start, text), no row twice."""
         at = np.arange(0, len(h), self.stride, dtype=np.int32)
         at = at[w.whole(self.width)[at]]
         if not len(at):
-            return np.zeros((0, 2), np.int64)
+            return np.zeros((0, 3), np.int64)
         run = np.concatenate([h, np.zeros(2 * self.width + 2, U64)])
         out = []
         for rep, steps in enumerate(self.steps):
@@ -96,8 +98,9 @@ class Class:
             if n.sum():
                 which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 own = self.owner[self.order[rep][which]]
-                out.append(np.stack([own[:, 0], np.repeat(at[hit], n) - own[:, 1]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+                from_ = np.repeat(at[hit], n)
+                out.append(np.stack([own[:, 0], from_ - own[:, 1], w.row[from_]], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
 def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -134,17 +137,17 @@ def make_classes(items: list[tuple[int, str]], max_edit: float = 0.2, min_words:
 def search(w: Words, classes: list[Class]) -> list[tuple[int, int, int, int]]:
     """(text row, item id, edits, first word) of every item found, the best place in each text."""
     h, found = w.hashes(), {}
+    low, first, after = (h & U64(4095)).astype(np.int16), w.first.tolist(), (w.first + w.count).tolist()
     for c in classes:
-        for i, at in c.candidates(w, h).tolist():
-            item_id, item = c.items[i]
-            row = int(w.row[max(at, 0)] if at >= 0 else w.row[0])
-            tau, n = c.budget[i], len(item)
-            # the window is inside the text; the item may begin before the text does
-            row = int(w.row[min(at + c.stride, len(h) - 1)]) if at < 0 or row != w.row[min(at + n // 2, len(h) - 1)] else row
-            lo = max(int(w.first[row]), at - tau)
-            hi = min(int(w.first[row] + w.count[row]), at + n + tau)
+        for i, at, row in c.candidates(w, h).tolist():
+            (item_id, item), tau = c.items[i], c.budget[i]
+            n = len(item)
+            lo, hi = max(first[row], at - tau), min(after[row], at + n + tau)
+            # edits leave n - tau of the item's words in place
+            if hi - lo < n - tau or np.count_nonzero(c.seen[i][low[lo:hi]]) < n - tau:
+                continue
             best = found.get((row, item_id))
-            if hi - lo < n - tau or best and (best[0] == 0 or lo <= best[1] < hi):
+            if best and (best[0] == 0 or lo <= best[1] < hi):
                 continue
             part = h[lo:hi]
             if np.isin(item, part).sum() < n - tau:
