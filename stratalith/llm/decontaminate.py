@@ -169,22 +169,49 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item id too. Repeated rows are each reported; equal items of different ids
     are each reported. Other columns are ignored. Empty tables give no rows.
     """
-    it = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.lower(F.col(f"`{item_text}`").cast("string")).alias("t")).where("t is not null")
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("_text"))
-    out, block, size = None, [], 0
+    out = None
+    for classes in item_blocks(items, item_id, item_text, max_edit, min_words):
+        part = df.mapInArrow(_pass(df, classes), "doc_id long, item_id long, n_edits int, first_word long")
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    def flush():
-        nonlocal out, block, size
-        part = df.mapInArrow(_pass(df, make_classes(block, max_edit, min_words)), "doc_id long, item_id long, n_edits int, first_word long")
-        out, block, size = part if out is None else out.unionByName(part), [], 0
 
-    for r in it.toLocalIterator():  # the benchmark, a block at a time
+def item_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", max_edit: float = 0.2, min_words: int = 5) -> Iterator[list[Class]]:
+    """The benchmark's index, a block of about BLOCK_WORDS words at a time; one empty index if there are no items."""
+    it = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.lower(F.col(f"`{item_text}`").cast("string")).alias("t")).where("t is not null")
+    block, size, some = [], 0, False
+    for r in it.toLocalIterator():
         block.append((r.i, r.t))
         size += r.t.count(" ") + 1
         if size >= BLOCK_WORDS:
-            flush()
-    if block or out is None:
-        flush()
+            yield make_classes(block, max_edit, min_words)
+            block, size, some = [], 0, True
+    if block or not some:
+        yield make_classes(block, max_edit, min_words)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", max_edit: float = 0.2, min_words: int = 5) -> DataFrame:
+    """The rows of docs, with all columns, that hold no item; one pass without a shuffle for each block of items."""
+
+    def keeper(classes: list[Class]):
+        shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, offsets = buffers(batch.column("_stx_lower"))
+                keep = np.ones(batch.num_rows, bool)
+                for lo, hi in chunks(offsets):
+                    w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
+                    if len(w):
+                        keep[[lo + r for r, *_ in search(w, shared.value)]] = False
+                yield batch.drop_columns(["_stx_lower"]).filter(pa.array(keep))
+
+        return run
+
+    out = docs
+    for classes in item_blocks(items, max_edit=max_edit, min_words=min_words):
+        out = out.withColumn("_stx_lower", F.lower(F.col(f"`{text_col}`").cast("string"))).mapInArrow(keeper(classes), docs.schema)
     return out
 
 

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stratalith.llm.components import connected
-from stratalith.llm.keys import NULL_ID, id_key, partitions, table
+from stratalith.llm.keys import NULL_ID, ensure_checkpoint_dir, id_key, table
 from stratalith.llm.words import buffers, chunks
 
 U64 = np.uint64
@@ -229,8 +229,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     are given. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    from stratalith.llm.keys import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     marked = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     by_fp = marked.groupBy("fp").agg(F.min("_k").alias("k"))
@@ -243,5 +241,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all columns, that stand for their component: the one of smallest id.
+
+    Rows of one id are one document, of which the row of least text hash stays.
+    """
+    best = classes(docs, id_col, text_col, **how).where(F.col("_k") == F.coalesce("component_id", F.lit(NULL_ID))).select(F.col("_k").alias("_stx_rep")).distinct()
+    keyed = docs.withColumn("_stx_k", id_key(id_col)).join(best, F.col("_stx_k") == F.col("_stx_rep"), "left_semi")
+    w = Window.partitionBy("_stx_k").orderBy(F.xxhash64(F.col(f"`{text_col}`")))
+    return keyed.withColumn("_stx_n", F.row_number().over(w)).where("_stx_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).drop("_k")

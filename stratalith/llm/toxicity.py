@@ -243,6 +243,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([t for _, t in rows], np.array([y[k] for k, _ in rows], bool))
 
 
+def _scores(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int, f: Field) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, their probabilities, and the scores of rows lo to hi."""
+    w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
+    emit = np.full(len(w), f.bias)
+    for row in features(w) if len(w) else ():
+        emit += f.weights[row]
+    p, _, _ = marginals(emit, _starts(w), f)
+    z = f.scale * evidence(p, w) + f.offset
+    return w, p, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", span_p: float = 0.5, spans: bool = True) -> DataFrame:
     """Score every text.
 
@@ -262,24 +273,33 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             raw, offsets = buffers(batch.column("_text"))
             for lo, hi in chunks(offsets, CHUNK):
-                w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
-                emit = np.full(len(w), f.bias)
-                for row in features(w) if len(w) else ():
-                    emit += f.weights[row]
-                p, _, _ = marginals(emit, _starts(w), f)
-                z = f.scale * evidence(p, w) + f.offset
+                w, p, scores = _scores(raw, offsets, lo, hi, f)
                 out = [None] * (hi - lo)
                 if spans:
                     for t in np.flatnonzero(p >= span_p):
                         r = w.row[t]
                         out[r] = out[r] or []
                         out[r].append({"start": int(w.start[t] - w.offsets[r]), "end": int(w.end[t] - w.offsets[r]), "p": float(p[t])})
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))), pa.array([x or [] for x in out], kind)], names=["doc_id", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), pa.array(scores), pa.array([x or [] for x in out], kind)], names=["doc_id", "score", "spans"])
 
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("_text"))
     return df.mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
 
 
+def drop_toxic(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all columns, that score below the threshold; one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((field.weights.astype(np.float32), field.bias, field.trans, field.start, field.scale, field.offset))  # 1 MB, fixed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Field(*shared.value)
+        for batch in batches:
+            raw, offsets = buffers(batch.column("_stx_lower"))
+            keep = np.concatenate([np.zeros(0, bool), *(_scores(raw, offsets, lo, hi, f)[2] < threshold for lo, hi in chunks(offsets, CHUNK))])
+            yield batch.drop_columns(["_stx_lower"]).filter(pa.array(keep))
+
+    return docs.withColumn("_stx_lower", F.lower(F.col(f"`{text_col}`").cast("string"))).mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
