@@ -19,10 +19,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalith.llm.keys import NULL_ID, id_key, local_path, partitions, scratch, table
+from stratalith.llm.words import U64, buffers, byte_range_hashes, chunks
 
 MAGIC = b"STLTOK01"
 BLOCK = 1 << 12
 #: Pieces of text kept with their ids in a worker; beyond that pieces are encoded anew.
-CACHE = 400_000
-_SPACED = re.compile(r"(?<=\S) (?=\S)")
+CACHE = 800_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -128,13 +127,50 @@ class Reader:
         return self.range(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def piece_starts(raw: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Places where a text may be cut without changing what the byte-level pre-tokenizer makes of it.
+
+    No token of its pattern spans: a non-blank and a blank after it; a lone line
+    break and its neighbours; a letter or digit and punctuation after it. Where
+    a neighbour isn't surely of its kind (most of non-ASCII, control characters)
+    nothing is cut, nor inside the strings of special tokens.
+    """
+    n = len(raw)
+    before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    before[1:], after[:-1] = raw[:-1], raw[1:]
+    latin = np.zeros(n, bool)  # the byte before ends a letter of U+00C0 to U+00FF
+    latin[2:] = (raw[:-2] == 0xC3) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)
+    next_ = _SOLID[after] | (after == 0xC3)
+    prev = _SOLID[before] | latin
+    cut = (raw == 0x20) & (prev | ((before >= 0x80) & next_))
+    line = (raw == 0x0A) & prev & next_
+    cut |= line
+    cut[1:] |= line[:-1]
+    cut |= (_ALNUM[before] | latin) & _SOLID[raw] & ~_ALNUM[raw]
+    if special:
+        data = raw.tobytes()
+        for word in special:
+            at = data.find(word)
+            while at >= 0:
+                cut[at + 1 : at + len(word)] = False
+                at = data.find(word, at + 1)
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """A tokenizer that encodes each piece between single blanks once.
+    """A tokenizer that encodes each distinct piece of text once.
 
-    The byte-level pre-tokenizer never lets a token span from a character that
-    isn't white space into a blank with none beside it, so cutting before such
-    blanks changes nothing; the library encodes every distinct piece, and what a
-    text gives is the library's ids of its pieces in order.
+    Texts are cut where that changes nothing (piece_starts); the library encodes
+    every distinct piece, and what a text gives is the library's ids of its
+    pieces in order. Pieces are told apart by 128 bits of hash. At most CACHE
+    pieces are kept; others are encoded for each chunk.
     """
 
     def __init__(self, path: str):
@@ -142,35 +178,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.slots: dict[int, int] = {}
+        self.check, self.size = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.place, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @property
     def bits(self) -> int:
         return max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
 
-    def _pieces(self, text: str) -> list[str]:
-        blanks = text.count(" ") + text.count("\n")
-        # all white space single and inside: every blank is a place to cut
-        parts = text.split(" ") if len(text.split()) == blanks + 1 else _SPACED.split(text)
-        return parts[:1] + [" " + p for p in parts[1:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian u32."""
-        cut = [self._pieces(t) if t else [] for t in texts]
-        fresh = list({p for parts in cut for p in parts if p not in self.known})
-        now = {}
-        if fresh:
-            done = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            now = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, done)}
-        if len(self.known) + len(now) <= CACHE:
-            self.known |= now
-            get = self.known.__getitem__
-        else:
-            for p in list(now)[: max(0, CACHE - len(self.known))]:
-                self.known[p] = now[p]
-            known = self.known
-            get = lambda p: known[p] if p in known else now[p]
-        return [b"".join(map(get, parts)) for parts in cut]
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of consecutive texts, and how many each has."""
+        rows = len(offsets) - 1
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
+        start = piece_starts(raw, offsets, self.special)
+        end = np.append(start[1:], len(raw))
+        one, two = (byte_range_hashes(raw, start, end, lane) for lane in (0, 1))
+        names, first, which = np.unique(one, return_index=True, return_inverse=True)
+        check, get = two[first], self.slots.get
+        slot = np.fromiter((get(x, -1) for x in names.tolist()), np.int64, len(names))
+        known = np.flatnonzero(slot >= 0)
+        if (two != check[which]).any() or (self.check[slot[known]] != check[known]).any():  # two pieces of one hash
+            texts = [raw[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            return self._library(texts)
+        fresh = np.flatnonzero(slot < 0)
+        size, place, pool = self.size, self.place, self.pool
+        if len(fresh):
+            data = raw.tobytes()
+            ids, n = self._library([data[a:b].decode() for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())])
+            slot[fresh] = len(size) + np.arange(len(fresh))
+            place = np.concatenate([place, len(pool) + np.cumsum(n) - n])
+            size, pool = np.concatenate([size, n]), np.concatenate([pool, ids])
+            if len(size) <= CACHE:
+                self.size, self.place, self.pool = size, place, pool
+                self.check = np.concatenate([self.check, check[fresh]])
+                self.slots.update(zip(names[fresh].tolist(), slot[fresh].tolist()))
+        n, at = size[slot][which], place[slot][which]
+        total = int(n.sum())
+        out = pool[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(total)]
+        row = np.searchsorted(offsets, start, "right") - 1
+        return out, np.bincount(row, n, rows).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -199,15 +252,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, enc, at = None, encoder(tokenizer), TaskContext.get().partitionId()
         for batch in batches:
-            keys, texts = np.asarray(batch.column("_k")), batch.column("_text")
-            size = np.cumsum(np.asarray(pa.compute.binary_length(texts)), dtype=np.int64)
-            lo = 0
-            while lo < len(keys):
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 21), "right")))
-                parts = [x + int(end).to_bytes(4, "little") for x in enc.encode(texts.slice(lo, hi - lo).to_pylist())]
+            keys = np.asarray(batch.column("_k"))
+            raw, offsets = buffers(batch.column("_text"))
+            for lo, hi in chunks(offsets, 1 << 22):
+                ids, n = enc.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 out = out or Writer(f"{folder}/part-{at:06d}.bin", enc.bits)
-                out.add(keys[lo:hi], np.array([len(x) // 4 for x in parts]), np.frombuffer(b"".join(parts), "<u4"))
-                lo = hi
+                out.add(keys[lo:hi], n + 1, np.insert(ids, np.cumsum(n), end))
         if out:
             n = out.close()
             yield pa.RecordBatch.from_pydict({"file": [f"part-{at:06d}.bin"], "docs": [n], "tokens": [out.tokens]})

@@ -15,6 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+OTHER_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 CHUNK_BYTES = 1 << 20
 
 #: Words are runs of anything but the six ASCII white-space bytes.
@@ -81,6 +82,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def byte_range_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of the bytes [start, end) of each range, one of two independent ones."""
+    up, down = (_BYTE_POWERS, _SEQ_POWERS[1])[lane].get(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, U64)
+    np.cumsum((BYTE_VALUES if lane == 0 else OTHER_VALUES)[raw] * up[:-1], dtype=U64, out=total[1:])
+    return mix((total[end] - total[start]) * down[start], lane)
+
+
 class Words:
     """The words of consecutive texts: byte starts and ends, the text each is in, 64-bit hashes."""
 

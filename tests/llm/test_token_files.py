@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from stratalith.llm import token_files as T
+from stratalith.llm.words import buffers
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -31,7 +33,7 @@ def test_files(tmp_path, bits):
 
 def test_round_trip(spark, monkeypatch):
     rnd = random.Random(2)
-    bits = ["the", "Hello", "é", "don't", " ", "  ", "\n", "\n\n", "\t", ",", "<|endoftext|>", " ", "日本", "12345", "\x1c", " ", "a.b", "x" * 50]
+    bits = ["the", "Hello", "é", "don't", " ", "  ", "\n", "\n\n", "\t", ",", "<|endoftext|>", " ", "日本", "12345", "x's,", "(the)", "Ü!!", "\u00a0", "\u3000", "\r\n", "…", "'ll", "×,", "ñ\n", "\x1c", " ", "a.b", "x" * 50]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(150)] + [" ".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(1000, None), (1001, ""), (None, "null id"), (None, None), (6, texts[2]), (6, "other"), (1002, "word " * 200_000)]
     rnd.shuffle(rows)
@@ -46,7 +48,13 @@ def test_round_trip(spark, monkeypatch):
         assert g[1] == at
         at += g[2]
     assert [(g[0] is None, g[0] or 0) for g in sorted(got, key=lambda g: g[1])] == plain
-    monkeypatch.setattr(T, "CACHE", 3)
-    e = T.Encoder(PATH)
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (400_000, 3):
+        monkeypatch.setattr(T, "CACHE", size)
+        e = T.Encoder(PATH)
+        for lo in range(0, len(texts), 50):
+            part = texts[lo : lo + 50]
+            raw, off = buffers(pa.array(part))
+            ids, n = e.encode(raw, off)
+            cut = np.split(ids, np.cumsum(n)[:-1])
+            assert [c.tolist() for c in cut] == [lib.encode(t, add_special_tokens=False).ids for t in part]
     assert T.encode_documents(spark, df.where("doc_id < 0")).collect() == []
