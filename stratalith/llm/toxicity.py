@@ -96,58 +96,81 @@ def marginals(emit: np.ndarray, first: np.ndarray, f: Field) -> tuple[np.ndarray
     return odds / (1 + odds), fwd, bwd
 
 
-def _texts(texts: list[str]) -> Words:
-    raw, offsets = buffers(pa.array(texts, pa.string()))
-    return Words(raw, offsets, WORDISH)
-
-
-def _starts(w: Words) -> np.ndarray:
-    first = np.zeros(len(w), bool)
+class Sample:
+    """Features and places of the tokens of a list of texts, made a chunk at a time."""
+
+    def __init__(self, texts: list[str], seeds: int = 8, shingle: int = 3):
+        raw, offsets = buffers(pa.array(texts, pa.string()))
+        self.rows, feats, rows = len(texts), [np.zeros((len(PREFIXES), 0), np.int32)], [np.zeros(0, np.int32)]
+        self.least = np.full((seeds, self.rows), np.uint64(2**64 - 1))  # least hashes of each text's shingles
+        self.count = np.zeros(self.rows, np.int64)
+        for lo, hi in chunks(offsets):
+            w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
+            feats.append(features(w) if len(w) else feats[0])
+            rows.append((w.row + lo).astype(np.int32))
+            self.count[lo:hi] = w.count
+            h, ok = sequence_hashes(w.hashes(), shingle) if len(w) else np.zeros(0, np.uint64), w.whole(shingle)
+            for k in range(seeds):
+                np.minimum.at(self.least[k], w.row[ok] + lo, mix(h[ok], 1000 + k))
+        self.feats, self.row = np.concatenate(feats, axis=1), np.concatenate(rows)
+        self.first = np.cumsum(self.count) - self.count
+
+    def first_of_copies(self) -> np.ndarray:
+        """Whether a text shares no least hash with an earlier one: copies are no independent evidence."""
+        first, seen = np.ones(self.rows, bool), [set() for _ in self.least]
+        for r, keys in enumerate(self.least.T.tolist()):
+            if keys[0] < 2**64 - 1:
+                first[r] = not any(x in s for x, s in zip(keys, seen))
+                for x, s in zip(keys, seen):
+                    s.add(x)
+        return first
+
+
+def _starts(w: Words | Sample) -> np.ndarray:
+    first = np.zeros(int(w.count.sum()), bool)
     first[w.first[w.count > 0]] = True
     return first
 
 
+def _emissions(f: Field, feats: np.ndarray) -> np.ndarray:
+    out = np.full(feats.shape[1], float(f.bias))
+    for row in feats:
+        out += f.weights[row]
+    return out
+
+
 def token_labels(feats: np.ndarray, row: np.ndarray, toxic: np.ndarray, counted: np.ndarray, least: float = 35.0) -> np.ndarray:
     """Weak token labels from document labels: by the likelihood ratio (G) of a feature's counts over the `counted` documents."""
     n_pos, n_neg, size = int((toxic & counted).sum()), int((~toxic & counted).sum()), 1 << BITS
-    pair = np.unique(np.concatenate([row.astype(np.int64) * size + f for f in feats]))
-    pair = pair[counted[pair // size]]
-    doc, feat = pair // size, pair % size
-    a = np.bincount(feat[toxic[doc]], minlength=size).astype(float)
-    b = np.bincount(feat[~toxic[doc]], minlength=size).astype(float)
+    a, b = np.zeros(size), np.zeros(size)
+    for f in feats:  # the kinds of feature are counted apart and share few places
+        pair = np.unique(row.astype(np.int64) * size + f)
+        pair = pair[counted[pair // size]]
+        doc, feat = pair // size, pair % size
+        a += np.bincount(feat[toxic[doc]], minlength=size)
+        b += np.bincount(feat[~toxic[doc]], minlength=size)
+    # two kinds in one place may count a document twice
+    a, b = np.minimum(a, n_pos), np.minimum(b, n_neg)
     share = (a + b) / max(n_pos + n_neg, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.nan_to_num(a * np.log(a / (share * n_pos))) + np.nan_to_num(b * np.log(b / (share * n_neg))))
     marks = (g > least) & (a / max(n_pos, 1) > 8 * (b + 0.25) / max(n_neg, 1))
-    return marks[feats].any(axis=0) & toxic[row]
-
-
-def first_of_copies(w: Words, seeds: int = 8, shingle: int = 3) -> np.ndarray:
-    """Whether a text shares no minimum of its shingles' hashes with an earlier one: copies are no independent evidence."""
-    h, ok = sequence_hashes(w.hashes(), shingle), w.whole(shingle)
-    first, seen = np.ones(w.rows, bool), [set() for _ in range(seeds)]
-    least = np.full((seeds, w.rows), np.uint64(2**64 - 1))
-    for k in range(seeds):
-        np.minimum.at(least[k], w.row[ok], mix(h[ok], 1000 + k))
-    for r in range(w.rows):
-        keys = least[:, r].tolist()
-        if w.count[r] >= shingle:
-            first[r] = not any(x in s for x, s in zip(keys, seen))
-            for x, s in zip(keys, seen):
-                s.add(x)
-    return first
+    out = np.zeros(len(row), bool)
+    for f in feats:
+        out |= marks[f]
+    return out & toxic[row]
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, fit_docs: int = 1000) -> Field:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, fit_docs: int = 800) -> Field:
     """Fit field and document score; texts in lower case. With no toxic or no clean document the score is the base rate."""
     field = Field(np.zeros(1 << BITS), -6.0, np.array([[1.0, 0.02], [0.7, 0.3]]), 0.02)
     if not len(texts) or toxic.all() or not toxic.any():
         rate = (float(toxic.sum()) + 0.5) / (len(texts) + 1) if len(texts) else 0.0
         field.scale, field.offset = 0.0, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
         return field
-    w = _texts(texts)
-    feats, first = features(w), _starts(w)
-    y = token_labels(feats, w.row, toxic, first_of_copies(w))
+    w = Sample(texts)
+    feats, first = w.feats, _starts(w)
+    y = token_labels(feats, w.row, toxic, w.first_of_copies())
     # the field is fitted on the first documents of either label (they come in hashed order)
     order = np.argsort(np.concatenate([np.arange(toxic.sum()), np.arange((~toxic).sum())])[np.argsort(np.argsort(~toxic, kind="stable"), kind="stable")], kind="stable")
     use = np.zeros(len(texts), bool)
@@ -164,7 +187,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, fit_docs: int =
     m, v, log_a = np.zeros(size + 5), np.zeros(size + 5), np.log(field.trans)
     for k in range(1, rounds + 1):
         field.trans = np.exp(log_a)
-        p, fwd, bwd = marginals(field.weights[fx].sum(axis=0) + field.bias, st, field)
+        p, fwd, bwd = marginals(_emissions(field, fx), st, field)
         miss = yy - p
         grad = np.zeros(size + 5)
         for row in fx:
@@ -172,7 +195,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, fit_docs: int =
         grad[:size] -= 0.02 * field.weights
         grad[size] = miss.sum()
         # pairwise marginals of inner tokens, for the transitions
-        emit = np.exp(np.clip(field.weights[fx].sum(axis=0) + field.bias, -20, 20))
+        emit = np.exp(np.clip(_emissions(field, fx), -20, 20))
         before = np.concatenate([[1.0], fwd[:-1]])
         x = emit * bwd
         cell = [[np.ones_like(x) * field.trans[0, 0], field.trans[0, 1] * x], [before * field.trans[1, 0], before * field.trans[1, 1] * x]]
@@ -187,14 +210,14 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, fit_docs: int =
         field.bias += step[size]
         log_a = np.clip(log_a + 0.2 * step[size + 1 :].reshape(2, 2), -12, 3)
     field.trans = np.exp(log_a)
-    p, _, _ = marginals(field.weights[feats].sum(axis=0) + field.bias, first, field)
+    p, _, _ = marginals(_emissions(field, feats), first, field)
     x = evidence(p, w)
     held = ~use if (~use).sum() >= 400 and toxic[~use].any() and not toxic[~use].all() else np.ones(len(texts), bool)
     field.scale, field.offset = _logistic(x[held], toxic[held].astype(float))
     return field
 
 
-def evidence(p: np.ndarray, w: Words) -> np.ndarray:
+def evidence(p: np.ndarray, w: Words | Sample) -> np.ndarray:
     """Log of the summed evidence -p log(1-p), of each text: near-certain tokens count, many faint ones don't add up."""
     loss = np.concatenate([[0.0], np.cumsum(-p * np.log1p(-np.minimum(p, 1 - 1e-9)))])
     return np.log(np.maximum(loss[w.first + w.count] - loss[w.first], 0) + 1e-3)
@@ -219,7 +242,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000, max_chars: int = 50_000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2400, max_chars: int = 20_000) -> Field:
     """Train on labelled rows that are not held out.
 
     At most max_docs / 2 documents of either label, of at most max_chars
@@ -246,10 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scores(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int, f: Field) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words, their probabilities, and the scores of rows lo to hi."""
     w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
-    emit = np.full(len(w), f.bias)
-    for row in features(w) if len(w) else ():
-        emit += f.weights[row]
-    p, _, _ = marginals(emit, _starts(w), f)
+    p, _, _ = marginals(_emissions(f, features(w)) if len(w) else np.zeros(0), _starts(w), f)
     z = f.scale * evidence(p, w) + f.offset
     return w, p, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
