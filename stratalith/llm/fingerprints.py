@@ -20,7 +20,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalith.llm.keys import ensure_checkpoint_dir, partitions, table
+from stratalith.llm.keys import NULL_ID, ensure_checkpoint_dir, id_key, partitions, table
 
 LANES = 2  # of 64 bits
 WORD = r"[\x20\x09-\x0D]+"
@@ -103,33 +103,38 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = 5, lanes: int = LA
     return one.join(n, one.fp == n._fp, "left").select("fp", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _next (the next id in descending order, after the last the first) and lengths, for each different id.
+def neighbours(docs: DataFrame) -> DataFrame:
+    """_k, _next, _prev (the next and previous key in descending order, round the end) and _before (the previous length).
 
-    The order is made by ranges: ids are range partitioned, cut off by a
-    checkpoint with their partition's number, ordered within it, and joined at
-    the partitions' edges through a table of one row a partition.
+    docs: _k and _len. The order is made by ranges: keys are range partitioned,
+    cut off by a checkpoint with their partition's number, ordered within it, and
+    joined at the partitions' edges through a table of one row a partition.
     """
-    ids = docs.groupBy(F.col(f"`{id_col}`").cast("long").alias("_id")).agg(F.max(F.coalesce(F.length(F.col(f"`{text_col}`").cast("string")), F.lit(0))).cast("long").alias("_len"))
-    ids = ids.repartitionByRange(partitions(docs), F.col("_id").desc_nulls_last()).withColumn("_p", F.spark_partition_id()).checkpoint()
-    w = Window.partitionBy("_p").orderBy(F.col("_id").desc_nulls_last())
-    ids = ids.select("_id", "_len", "_p", F.lead(F.struct(F.col("_id").alias("id"))).over(w).alias("_n"), F.lag(F.struct(F.col("_len").alias("len"))).over(w).alias("_b"))
-    # one row a partition: its first id and its last length
-    ends = ids.groupBy("_p").agg(F.max(F.when(F.col("_b").isNull(), F.struct(F.struct(F.col("_id").alias("id")).alias("s")))).alias("first"), F.max(F.when(F.col("_n").isNull(), F.struct(F.struct(F.col("_len").alias("len")).alias("s")))).alias("last"))
+    ids = docs.groupBy("_k").agg(F.max("_len").alias("_len"))
+    ids = ids.repartitionByRange(partitions(docs), F.col("_k").desc()).withColumn("_p", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("_p").orderBy(F.col("_k").desc())
+    ids = ids.select("_k", "_p", F.lead("_k").over(w).alias("_n"), F.lag("_k").over(w).alias("_b"), F.lag("_len").over(w).alias("_bl"), "_len")
+    # one row a partition: its first key, its last and that one's length
+    ends = ids.groupBy("_p").agg(F.max("_k").alias("first"), F.min("_k").alias("last"), F.max(F.when(F.col("_n").isNull(), F.col("_len"))).alias("len"))
     wp, wa = Window.orderBy("_p"), Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select(F.col("_p").alias("_q"), F.coalesce(F.lead("first").over(wp), F.first("first").over(wa)).alias("_nf"), F.coalesce(F.lag("last").over(wp), F.last("last").over(wa)).alias("_bl"))
+    around = lambda c, shift, edge: F.coalesce(shift(c).over(wp), edge(c).over(wa))
+    ends = ends.select(F.col("_p").alias("_q"), around("first", F.lead, F.first).alias("_nf"), around("last", F.lag, F.last).alias("_pl"), around("len", F.lag, F.last).alias("_ll"))
     ids = ids.join(ends, ids._p == ends._q)
-    return ids.select("_id", F.coalesce("_n", F.col("_nf.s"))["id"].alias("_next"), F.coalesce("_b", F.col("_bl.s"))["len"].alias("_before"))
+    return ids.select("_k", F.coalesce("_n", "_nf").alias("_next"), F.coalesce("_b", "_pl").alias("_prev"), F.when(F.col("_b").isNull(), F.col("_ll")).otherwise(F.col("_bl")).alias("_before"))
 
 
 def edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _text, _len, _next and _edited: the text whose last third is replaced by the beginning of the next document."""
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    d = d.join(neighbours(docs, id_col, text_col).withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i"))).drop("_i").withColumn("_len", F.length("_text").cast("long"))
-    # a document hands on as much of its beginning as the one before it replaces
-    heads = d.groupBy("_id").agg(F.min(F.expr("substring(_text, 1, cast(_before div 3 as int))")).alias("_head")).withColumnRenamed("_id", "_h")
-    d = d.join(heads, F.col("_next").eqNullSafe(F.col("_h")), "left")
-    return d.withColumn("_edited", F.concat(F.expr("substring(_text, 1, cast(_len - _len div 3 as int))"), F.expr("substring(_head, 1, cast(_len div 3 as int))"))).select("_id", "_text", "_len", "_next", "_edited")
+    """_k, _text, _len, _next and _edited: the text whose last third is replaced by the beginning of the next document.
+
+    Whole texts are shuffled once, by key; of the next document only the part
+    that is asked for travels.
+    """
+    d = docs.select(id_key(id_col).alias("_k"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    near = neighbours(d.select("_k", F.length("_text").cast("long").alias("_len")))
+    d = d.join(near, "_k")
+    heads = d.groupBy(F.col("_prev").alias("_k")).agg(F.min(F.expr("substring(_text, 1, cast(_before div 3 as int))")).alias("_head"))
+    d = d.join(heads, "_k").withColumn("_len", F.length("_text").cast("long"))
+    return d.select("_k", "_text", "_len", "_next", F.concat(F.expr("substring(_text, 1, cast(_len - _len div 3 as int))"), F.expr("substring(_head, 1, cast(_len div 3 as int))")).alias("_edited"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
@@ -140,26 +145,27 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the next document's fingerprint), n_near (how many other fingerprints of the
     documents lie within `radius` bits), a row for each input row.
 
-    Null text counts as empty; empty and wordless texts have fingerprint zero.
-    Null ids come last in the descending order. Rows of one id are one document
-    in that order: its beginning is the least of theirs, it hands on as much as
-    its longest asks for. A single document is its own next. Other columns are
-    ignored; an empty table gives an empty result.
+    Null text counts as empty; empty and wordless texts have fingerprint zero. A
+    null id counts as the largest (2**63 - 1, which therefore comes back as null).
+    Rows of one id are one document in the order: its beginning is the least of
+    theirs, it hands on as much as its longest asks for. A single document is its
+    own next. Other columns are ignored; an empty table gives an empty result.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     e = edit(docs, id_col, text_col)
-    # a row's number tells repeated rows apart; equal rows are counted instead
-    both = e.select("_id", "_len", "_next", F.sha2(F.col("_edited").cast("binary"), 256).alias("_sha"), F.xxhash64("_text", "_edited").alias("_x"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("_edited").alias("t")))).alias("_v"))
-    both = both.withColumn("_row", F.monotonically_increasing_id()).select("_id", "_len", "_next", "_sha", "_x", "_row", F.col("_v.kind").alias("_kind"), F.col("_v.t").alias("_t"))
-    fps = fingerprint(both, ["_id", "_len", "_next", "_sha", "_x", "_row", "_kind"], "_t")
-    # the two rows of a text have neighbouring numbers
-    pair = fps.groupBy("_id", "_len", "_next", "_sha", "_x", F.shiftrightunsigned("_row", 1).alias("_row"))
-    one = pair.agg(F.max(F.when(F.col("_kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("_kind") == 1, F.col("fp"))).alias("efp")).checkpoint()
-    next_ = one.groupBy("_id").agg(F.min("fp").alias("nfp")).withColumnRenamed("_id", "_i")
+    # each row becomes two, the text and the edited text, of neighbouring numbers
+    both = e.select("_k", "_len", "_next", F.sha2(F.col("_edited").cast("binary"), 256).alias("_sha"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("_edited").alias("t")))).alias("_v"))
+    both = both.withColumn("_row", F.monotonically_increasing_id()).select("_k", "_len", "_next", "_sha", "_row", F.col("_v.kind").alias("_kind"), F.col("_v.t").alias("_t"))
+    fps = fingerprint(both, ["_k", "_len", "_next", "_sha", "_row", "_kind"], "_t")
+    pair = fps.groupBy("_k", "_len", "_next", "_sha", F.shiftrightunsigned("_row", 1).alias("_row"))
+    of = lambda kind: [F.max(F.when(F.col("_kind") == kind, F.col("fp")[x])).alias(f"_f{kind}_{x}") for x in range(LANES)]
+    one = pair.agg(*of(0), *of(1))
+    one = one.select("_k", "_len", "_next", "_sha", *(F.array(*(F.col(f"_f{kind}_{x}") for x in range(LANES))).alias(name) for kind, name in ((0, "fp"), (1, "efp")))).checkpoint()
+    next_ = one.groupBy(F.col("_k").alias("_next")).agg(F.min("fp").alias("nfp"))
     near = near_links(one, radius).withColumnRenamed("fp", "_fp")
-    out = one.join(next_, F.col("_next").eqNullSafe(F.col("_i"))).join(near, F.col("fp") == F.col("_fp"))
+    out = one.join(next_, "_next").join(near, F.col("fp") == F.col("_fp"))
     return out.select(
-        F.col("_id").alias("doc_id"), F.col("_len").alias("n_chars"), F.col("_sha").alias("edited_sha256"), to_hex(F.col("fp")).alias("fingerprint"), to_hex(F.col("efp")).alias("edited_fingerprint"),
+        F.when(F.col("_k") != NULL_ID, F.col("_k")).alias("doc_id"), F.col("_len").alias("n_chars"), F.col("_sha").alias("edited_sha256"), to_hex(F.col("fp")).alias("fingerprint"), to_hex(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"), F.col("n_near").cast("long").alias("n_near"),
     )
 
