@@ -13,7 +13,8 @@ occurrence of a repeated full window nominates the same ones.
 
 Shape of the plan: the texts are shuffled once, by id, and that exchange is
 reused by every level. Counting shuffles pre-aggregated hashes. What goes back
-to a document is the set of its hashes that survive; a hash that a third of
+to a document is the set of its hashes that survive (exact copies of a document
+of smaller id are told apart first, by a digest, and take no part); a hash that a third of
 all documents share stays a skewed semi-join, which adaptive execution splits.
 """
 
@@ -114,6 +115,7 @@ def _cut(window: int, low: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, w, h in _scans(batch):
+                copy = np.asarray(batch.column("_copy").slice(lo, hi - lo).to_numpy(zero_copy_only=False), bool)
                 covered = np.zeros(len(w) + 1, np.int64)
                 s = _candidates(batch, lo, hi, w, h, window, low)
                 if len(s):
@@ -125,7 +127,7 @@ def _cut(window: int, low: int):
                     gone = s[~(mine & first)]
                     np.add.at(covered, gone, 1)
                     np.add.at(covered, gone + window, -1)
-                removed = np.cumsum(covered[:-1]) > 0
+                removed = (np.cumsum(covered[:-1]) > 0) | (copy & (w.count >= window))[w.row]
                 n_removed = np.add.reduceat(np.append(removed, False).astype(np.int64), np.minimum(w.first, len(w))) * (w.count > 0)
                 kept, spans = [], []
                 data = w.raw.tobytes()
@@ -165,7 +167,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 4:
         raise ValueError("window must be 4 words at least")
     low, n = window // 4, partitions(docs)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), id_key(id_col).alias("_k"), F.col(f"`{text_col}`").cast("string").alias("_text")).repartition(n, "_k")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), id_key(id_col).alias("_k"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    digest = F.md5(F.col("_text").cast("binary"))
+    # a text that a smaller id has too goes as a whole: it starts no window for the first time
+    marks = plain.select("_k", digest.alias("_m"))
+    least = marks.groupBy("_m").agg(F.min("_k").alias("_least"))
+    later = marks.join(least, "_m").where("_k > _least").groupBy("_k").agg(F.collect_set("_m").alias("_copies"))
+    all_ = plain.repartition(n, "_k").join(later, "_k", "left").withColumn("_copy", F.coalesce(F.array_contains("_copies", digest), F.lit(False))).drop("_copies")
+    base = all_.where(~F.col("_copy"))
 
     def surviving(level: DataFrame, name: str) -> DataFrame:
         again = level.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
@@ -175,7 +184,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     halves = surviving(base.join(lows, "_k").mapInArrow(_halves(low), "h long, k long, c long"), "_half")
     fulls = base.join(halves, "_k").mapInArrow(_fulls(window, low), "h long, h2 long, k long, c long")
     firsts = fulls.groupBy("h", "h2").agg(F.min("k").alias("_k")).groupBy("_k").agg(F.collect_list("h").alias("_first"))
-    return base.join(halves, "_k", "left").join(firsts, "_k", "left").mapInArrow(
+    return all_.join(halves, "_k", "left").join(firsts, "_k", "left").mapInArrow(
         _cut(window, low), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start: long, end: long>>"
     )
 
