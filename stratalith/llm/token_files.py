@@ -34,7 +34,7 @@ from stratalith.llm.words import U64, buffers, byte_range_hashes, chunks
 MAGIC = b"STLTOK01"
 BLOCK = 1 << 12
 #: Pieces of text kept with their ids in a worker; beyond that pieces are encoded anew.
-CACHE = 800_000
+CACHE = 500_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -254,7 +254,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         for batch in batches:
             keys = np.asarray(batch.column("_k"))
             raw, offsets = buffers(batch.column("_text"))
-            for lo, hi in chunks(offsets, 1 << 22):
+            for lo, hi in chunks(offsets, 1 << 21):
                 ids, n = enc.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 out = out or Writer(f"{folder}/part-{at:06d}.bin", enc.bits)
                 out.add(keys[lo:hi], n + 1, np.insert(ids, np.cumsum(n), end))
