@@ -200,6 +200,11 @@ class RegressionTree:
     def predict(self) -> Column:
         return self._walk(0, lambda n, v: F.lit(v))
 
+    def refit(self, df: DataFrame, value: Column) -> None:
+        """Give each leaf another aggregate of its rows as its value."""
+        for r in df.groupBy(self._place().alias("n")).agg(value.cast("double").alias("v")).collect():
+            self.nodes[r.n] = ("leaf", float(r.v))
+
     def importances(self) -> dict[str, float]:
         total = sum(self.gain.values()) or 1.0
         return {f: g / total for f, g in self.gain.items()}
@@ -218,9 +223,14 @@ class GradientBoosting:
         for _ in range(boosts):
             f = self.score
             miss = {"l2": y - f, "absolute": F.signum(y - f), "binomial": y - 1 / (1 + F.exp(-f))}[loss]
-            tree = RegressionTree(df.withColumn("_g", miss), features, "_g", max_depth)
-            scale = 4.0 if loss == "binomial" else 1.0  # the steepest curvature of the binomial loss
-            self.score = f + tree.predict() * (rate * scale)
+            d = df.withColumns({"_g": miss, "_f": f})
+            tree = RegressionTree(d, features, "_g", max_depth)
+            if loss == "absolute":
+                tree.refit(d, F.percentile(y - F.col("_f"), F.lit(0.5)))
+            elif loss == "binomial":  # one Newton step
+                p = 1 / (1 + F.exp(-F.col("_f")))
+                tree.refit(d, F.sum("_g") / F.greatest(F.sum(p * (1 - p)), F.lit(1e-9)))
+            self.score = f + tree.predict() * rate
 
     def predict(self) -> Column:
         return 1 / (1 + F.exp(-self.score)) if self.loss == "binomial" else self.score
