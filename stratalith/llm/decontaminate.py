@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stratalith.llm.keys import table
-from stratalith.llm.words import U64, WORDISH, Words, buffers, chunks, mix
+from stratalith.llm.words import CHUNK_BYTES, U64, WORDISH, Words, lower_chunks, mix
 
 #: Words of items in one pass.
 BLOCK_WORDS = 2_000_000
@@ -117,12 +117,13 @@ def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def item_words(text: str) -> np.ndarray:
-    raw, offsets = buffers(pa.array([text], pa.string()))
+    """Hashes of the words of a text, in lower case."""
+    _, _, raw, offsets = next(lower_chunks(pa.array([text], pa.string()), CHUNK_BYTES))
     return Words(raw, offsets, WORDISH).hashes()
 
 
 def make_classes(items: list[tuple[int, str]], max_edit: float = 0.2, min_words: int = 5) -> list[Class]:
-    """items: id, lower-cased text. Those of under min_words words are left out: they name no passage."""
+    """items: id, text. Those of under min_words words are left out: they name no passage."""
     coded = [(i, w) for i, t in items if len(w := item_words(t)) >= min_words]
     out, least = [], min((len(w) for _, w in coded), default=0)
     while coded:
@@ -169,7 +170,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item id too. Repeated rows are each reported; equal items of different ids
     are each reported. Other columns are ignored. Empty tables give no rows.
     """
-    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("_text"))
+    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     out = None
     for classes in item_blocks(items, item_id, item_text, max_edit, min_words):
         part = df.mapInArrow(_pass(df, classes), "doc_id long, item_id long, n_edits int, first_word long")
@@ -179,7 +180,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def item_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", max_edit: float = 0.2, min_words: int = 5) -> Iterator[list[Class]]:
     """The benchmark's index, a block of about BLOCK_WORDS words at a time; one empty index if there are no items."""
-    it = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.lower(F.col(f"`{item_text}`").cast("string")).alias("t")).where("t is not null")
+    it = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null")
     block, size, some = [], 0, False
     for r in it.toLocalIterator():
         block.append((r.i, r.t))
@@ -199,19 +200,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw, offsets = buffers(batch.column("_stx_lower"))
                 keep = np.ones(batch.num_rows, bool)
-                for lo, hi in chunks(offsets):
-                    w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
+                for lo, _, raw, offsets in lower_chunks(batch.column(text_col), CHUNK_BYTES):
+                    w = Words(raw, offsets, WORDISH)
                     if len(w):
                         keep[[lo + r for r, *_ in search(w, shared.value)]] = False
-                yield batch.drop_columns(["_stx_lower"]).filter(pa.array(keep))
+                yield batch.filter(pa.array(keep))
 
         return run
 
     out = docs
     for classes in item_blocks(items, max_edit=max_edit, min_words=min_words):
-        out = out.withColumn("_stx_lower", F.lower(F.col(f"`{text_col}`").cast("string"))).mapInArrow(keeper(classes), docs.schema)
+        out = out.mapInArrow(keeper(classes), docs.schema)
     return out
 
 
@@ -220,9 +220,8 @@ def _pass(df: DataFrame, classes: list[Class]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffers(batch.column("_text"))
-            for lo, hi in chunks(offsets):
-                w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
+            for lo, _, raw, offsets in lower_chunks(batch.column("_text"), CHUNK_BYTES):
+                w = Words(raw, offsets, WORDISH)
                 if len(w) and (got := search(w, shared.value)):
                     row, item, d, at = zip(*got)
                     yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array([lo + r for r in row])), pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(at, pa.int64())], names=["doc_id", "item_id", "n_edits", "first_word"])

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalith.llm.keys import table
-from stratalith.llm.words import WORDISH, Words, buffers, chunks, mix, sequence_hashes
+from stratalith.llm.words import CHUNK_BYTES, WORDISH, Words, lower_chunks, mix, sequence_hashes
 
 BITS = 18
 PREFIXES = (0, 3, 4, 5, 6)  # 0: the whole word
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -100,12 +100,11 @@ class Sample:
     """Features and places of the tokens of a list of texts, made a chunk at a time."""
 
     def __init__(self, texts: list[str], seeds: int = 8, shingle: int = 3):
-        raw, offsets = buffers(pa.array(texts, pa.string()))
         self.rows, feats, rows = len(texts), [np.zeros((len(PREFIXES), 0), np.int32)], [np.zeros(0, np.int32)]
         self.least = np.full((seeds, self.rows), np.uint64(2**64 - 1))  # least hashes of each text's shingles
         self.count = np.zeros(self.rows, np.int64)
-        for lo, hi in chunks(offsets):
-            w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
+        for lo, hi, raw, offsets in lower_chunks(pa.array(texts, pa.string()), CHUNK_BYTES):
+            w = Words(raw, offsets, WORDISH)
             feats.append(features(w) if len(w) else feats[0])
             rows.append((w.row + lo).astype(np.int32))
             self.count[lo:hi] = w.count
@@ -162,7 +161,7 @@ def token_labels(feats: np.ndarray, row: np.ndarray, toxic: np.ndarray, counted:
 
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, fit_docs: int = 800) -> Field:
-    """Fit field and document score; texts in lower case. With no toxic or no clean document the score is the base rate."""
+    """Fit field and document score. With no toxic or no clean document the score is the base rate."""
     field = Field(np.zeros(1 << BITS), -6.0, np.array([[1.0, 0.02], [0.7, 0.3]]), 0.02)
     if not len(texts) or toxic.all() or not toxic.any():
         rate = (float(toxic.sum()) + 0.5) / (len(texts) + 1) if len(texts) else 0.0
@@ -260,15 +259,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = {r[0]: r[1] >= 1 for r in few}
     if not y:
         return train([], np.zeros(0, bool))
-    rows = d.where(F.col("_k").isin(list(y)) & (F.length("_text") <= max_chars)).select("_k", F.lower("_text").alias("t")).collect()
+    rows = d.where(F.col("_k").isin(list(y)) & (F.length("_text") <= max_chars)).select("_k", F.col("_text").alias("t")).collect()
     rank = {k: i for i, k in enumerate(y)}
     rows = sorted({r._k: r.t for r in sorted(rows, key=lambda r: r.t)}.items(), key=lambda kv: rank[kv[0]])
     return train([t for _, t in rows], np.array([y[k] for k, _ in rows], bool))
 
 
-def _scores(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int, f: Field) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words, their probabilities, and the scores of rows lo to hi."""
-    w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORDISH)
+def _scores(raw: np.ndarray, offsets: np.ndarray, f: Field) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, their probabilities, and the texts' scores."""
+    w = Words(raw, offsets, WORDISH)
     p, _, _ = marginals(_emissions(f, features(w)) if len(w) else np.zeros(0), _starts(w), f)
     z = f.scale * evidence(p, w) + f.offset
     return w, p, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -291,9 +290,8 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         f = Field(*shared.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         for batch in batches:
-            raw, offsets = buffers(batch.column("_text"))
-            for lo, hi in chunks(offsets, CHUNK):
-                w, p, scores = _scores(raw, offsets, lo, hi, f)
+            for lo, hi, raw, offsets in lower_chunks(batch.column("_text"), CHUNK):
+                w, p, scores = _scores(raw, offsets, f)
                 out = [None] * (hi - lo)
                 if spans:
                     for t in np.flatnonzero(p >= span_p):
@@ -302,7 +300,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                         out[r].append({"start": int(w.start[t] - w.offsets[r]), "end": int(w.end[t] - w.offsets[r]), "p": float(p[t])})
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), pa.array(scores), pa.array([x or [] for x in out], kind)], names=["doc_id", "score", "spans"])
 
-    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("_text"))
+    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     return df.mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
 
 
@@ -313,11 +311,10 @@ def drop_toxic(docs: DataFrame, field: Field, text_col: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Field(*shared.value)
         for batch in batches:
-            raw, offsets = buffers(batch.column("_stx_lower"))
-            keep = np.concatenate([np.zeros(0, bool), *(_scores(raw, offsets, lo, hi, f)[2] < threshold for lo, hi in chunks(offsets, CHUNK))])
-            yield batch.drop_columns(["_stx_lower"]).filter(pa.array(keep))
+            keep = np.concatenate([np.zeros(0, bool), *(_scores(raw, offsets, f)[2] < threshold for _, _, raw, offsets in lower_chunks(batch.column(text_col), CHUNK))])
+            yield batch.filter(pa.array(keep))
 
-    return docs.withColumn("_stx_lower", F.lower(F.col(f"`{text_col}`").cast("string"))).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
@@ -72,6 +73,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lower_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of about `limit` bytes with the bytes and offsets of their lower-cased texts."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    for lo, hi in chunks(buffers(column)[1], limit):
+        yield lo, hi, *buffers(pc.utf8_lower(column.slice(lo, hi - lo)))
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes; a longer text has a range of its own."""
     lo, n = 0, len(offsets) - 1
