@@ -1,19 +1,13 @@
 """Benchmark passages in documents, edits included.
 
-The CGK random walk embeds a word sequence so that a few edits change few of
-its output places: at step j the walk puts out the word it stands on and moves
-on by a random bit of (j, word). Bit-sampling LSH takes a few output places as
-a key, again and again with other walks; sequences at a small edit distance
-share a key with good odds each time, and a repetition is cheap.
-
-Windows are sized by the items: items are classed by length, doubling from the
-shortest, and a class of at least m words has windows of m - s + 1 words at a
-stride of s = m / 4 words in the documents, and at every offset below s in the
-items. Wherever a document holds an item, one of its windows starts inside the
-item at such an offset, so the walks start level. Candidates are verified
-exactly: the least word edit distance between the item and any passage of the
-neighbourhood (Sellers' algorithm) must be at most `max_edit` of the item's
-words. Items too short for that are matched as wholes.
+An item of n words may differ from a passage by tau = max_edit * n word edits.
+Cut into tau + 1 pieces, at least one of them stays as it is, wherever in the
+document the passage lies and whichever words are edited. So the pieces of
+n // (tau + 1) words of every item are looked up at every word of every text:
+no passage within the edits is missed. Candidates are sieved by the words they
+hold and verified exactly: the least word edit distance between the item and
+any passage of the neighbourhood (Sellers' algorithm) must be at most tau.
+Items too short for an edit have one piece, the whole item.
 
 One pass over the documents, no shuffle. The items' index is sent to the tasks
 in blocks of bounded size: with more items there are more passes.
@@ -28,79 +22,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stratalith.llm.keys import table
-from stratalith.llm.words import CHUNK_BYTES, U64, WORDISH, Words, lower_chunks, mix
+from stratalith.llm.words import CHUNK_BYTES, U64, WORDISH, Words, lower_chunks, sequence_hashes
 
 #: Words of items in one pass.
 BLOCK_WORDS = 2_000_000
-REPEATS, SAMPLED = 8, 3
-
-
-def _walk(symbols: np.ndarray, at: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of the walk's output at the sampled steps (ascending), from each start; symbols must run on past the ends."""
-    at, key, mixed, want = at.copy(), np.zeros(len(at), U64), None, set(steps.tolist())
-    for j in range(int(steps[-1]) + 1):
-        if j % 64 == 0:
-            mixed = mix(symbols, seed * 1_000_003 + j + 1)
-        here = mixed[at]
-        if j in want:
-            key = (key + here) * U64(0x9E3779B97F4A7C15)
-            key ^= key >> U64(29)
-        at += ((here >> U64(j % 64)) & U64(1)).astype(at.dtype)
-    return key
-
-
-class Class:
-    """Items of at least `least` words (and under twice as many): geometry, sampled steps and keys."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], least: int, max_edit: float):
-        self.items, self.stride = items, max(1, least // 4)
-        self.width = least - self.stride + 1
-        rng = np.random.Generator(np.random.PCG64(least))
-        n_steps = max(1, min(2 * self.width, int(1.5 * self.width)))
-        k = min(SAMPLED, n_steps)
-        self.steps = [np.sort(rng.choice(n_steps, k, replace=False)) for _ in range(REPEATS)]
-        pad = np.zeros(2 * self.width + 2, U64)
-        flat = np.concatenate([np.concatenate([w, pad]) for _, w in items])
-        begin = np.cumsum([0] + [len(w) + len(pad) for _, w in items])[:-1]
-        starts, owner = [], []
-        for i, (_, w) in enumerate(items):
-            off = np.arange(min(self.stride, len(w) - self.width + 1))
-            starts.append(begin[i] + off)
-            owner.append(np.stack([np.full(len(off), i), off], axis=1))
-        starts, self.owner = np.concatenate(starts).astype(np.int32), np.concatenate(owner)
-        self.keys, self.order, self.sieve = [], [], []
-        for rep, steps in enumerate(self.steps):
-            key = _walk(flat, starts, steps, rep)
-            order = np.argsort(key, kind="stable")
-            sieve = np.zeros(1 << 18, bool)
-            sieve[key & U64((1 << 18) - 1)] = True
-            self.keys.append(key[order])
-            self.order.append(order)
-            self.sieve.append(sieve)
-        self.budget = [int(max_edit * len(w)) for _, w in items]
-        self.seen = np.zeros((len(items), 1 << 12), bool)  # which words an item may hold, by 12 bits of the hash
+#: Candidates sieved at a time, words counted.
+TILE = 1 << 20
+#: Words an item may hold are marked by so many bits of the hash.
+MARKS, SIEVE = U64((1 << 10) - 1), U64((1 << 18) - 1)
+
+
+class Index:
+    """The items with their edits and, for each length of piece, the pieces' keys and owners."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], max_edit: float):
+        self.items, self.size = items, np.array([len(w) for _, w in items])
+        self.budget = np.array([int(max_edit * len(w)) for _, w in items])
+        self.seen = np.zeros((len(items), int(MARKS) + 1), bool)
+        pieces: dict[int, list] = {}
         for i, (_, w) in enumerate(items):
-            self.seen[i, (w & U64(4095)).astype(np.int64)] = True
+            self.seen[i, (w & MARKS).astype(np.int64)] = True
+            n, parts = len(w), int(self.budget[i]) + 1
+            off = np.arange(parts) * n // parts
+            pieces.setdefault(n // parts, []).append((sequence_hashes(w, n // parts)[off], np.full(parts, i), off))
+        self.pieces = []
+        for q, some in sorted(pieces.items()):
+            key, item, off = (np.concatenate(x) for x in zip(*some))
+            order, sieve = np.argsort(key, kind="stable"), np.zeros(int(SIEVE) + 1, bool)
+            sieve[key & SIEVE] = True
+            self.pieces.append((q, key[order], item[order], off[order], sieve))
 
     def candidates(self, w: Words, h: np.ndarray) -> np.ndarray:
-        """Rows of (item, word where it would start, text), no row twice."""
-        at = np.arange(0, len(h), self.stride, dtype=np.int32)
-        at = at[w.whole(self.width)[at]]
-        if not len(at):
-            return np.zeros((0, 3), np.int64)
-        run = np.concatenate([h, np.zeros(2 * self.width + 2, U64)])
-        out = []
-        for rep, steps in enumerate(self.steps):
-            key = _walk(run, at, steps, rep)
-            hit = np.flatnonzero(self.sieve[rep][key & U64((1 << 18) - 1)])
-            lo, hi = np.searchsorted(self.keys[rep], key[hit], "left"), np.searchsorted(self.keys[rep], key[hit], "right")
-            n = hi - lo
-            if n.sum():
-                which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                own = self.owner[self.order[rep][which]]
-                from_ = np.repeat(at[hit], n)
-                out.append(np.stack([own[:, 0], from_ - own[:, 1], w.row[from_]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        """Rows of (text, item, word where it would start) in ascending order, no row twice."""
+        marks, out = (h & MARKS).astype(np.int64), [np.zeros((0, 3), np.int64)]
+        for q, keys, items, offsets, sieve in self.pieces:
+            seq = sequence_hashes(h, q)
+            hit = np.flatnonzero(sieve[seq & SIEVE] & w.whole(q))
+            lo, hi = np.searchsorted(keys, seq[hit], "left"), np.searchsorted(keys, seq[hit], "right")
+            hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            total = np.cumsum(n)
+            width = int((self.size + 2 * self.budget).max())
+            step = max(1, TILE // width)
+            for begin in range(0, int(total[-1]) if len(total) else 0, step):
+                k = np.arange(begin, min(begin + step, int(total[-1])))
+                at = np.searchsorted(total, k, "right")
+                own = lo[at] + k - (total[at] - n[at])
+                start, row, item = hit[at] - offsets[own], w.row[hit[at]], items[own]
+                # edits leave n - tau of the item's words in place
+                from_ = np.maximum(start - self.budget[item], w.first[row])
+                to = np.minimum(start + self.size[item] + self.budget[item], w.first[row] + w.count[row])
+                place = from_[:, None] + np.arange(width)
+                held = self.seen[item[:, None], marks[np.minimum(place, len(h) - 1)]] & (place < to[:, None])
+                good = held.sum(axis=1) >= self.size[item] - self.budget[item]
+                out.append(np.unique(np.stack([row[good], item[good], start[good]], axis=1), axis=0))
+        return np.unique(np.concatenate(out), axis=0)
 
 
 def passage_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -122,38 +97,37 @@ def item_words(text: str) -> np.ndarray:
     return Words(raw, offsets, WORDISH).hashes()
 
 
-def make_classes(items: list[tuple[int, str]], max_edit: float = 0.2, min_words: int = 5) -> list[Class]:
+def make_classes(items: list[tuple[int, str]], max_edit: float = 0.2, min_words: int = 5) -> list[Index]:
     """items: id, text. Those of under min_words words are left out: they name no passage."""
-    coded = [(i, w) for i, t in items if len(w := item_words(t)) >= min_words]
-    out, least = [], min((len(w) for _, w in coded), default=0)
-    while coded:
-        now = [x for x in coded if len(x[1]) < 2 * least]
-        coded = [x for x in coded if len(x[1]) >= 2 * least]
-        if now:
-            out.append(Class(now, least, max_edit))
-        least *= 2
-    return out
+    if not 0 <= max_edit < 1:
+        raise ValueError("max_edit: from 0 to below 1")
+    coded = [(i, w) for i, t in items if len(w := item_words(t)) >= max(1, min_words)]
+    return [Index(coded, max_edit)] if coded else []
 
 
-def search(w: Words, classes: list[Class]) -> list[tuple[int, int, int, int]]:
+def search(w: Words, classes: list[Index]) -> list[tuple[int, int, int, int]]:
     """(text row, item id, edits, first word) of every item found, the best place in each text."""
     h, found = w.hashes(), {}
-    low, first, after = (h & U64(4095)).astype(np.int16), w.first.tolist(), (w.first + w.count).tolist()
+    first, after = w.first.tolist(), (w.first + w.count).tolist()
     for c in classes:
-        for i, at, row in c.candidates(w, h).tolist():
-            (item_id, item), tau = c.items[i], c.budget[i]
+        rows = c.candidates(w, h)
+        if not len(rows):
+            continue
+        n, tau = c.size[rows[:, 1]], c.budget[rows[:, 1]]
+        # places whose neighbourhoods touch are searched as one
+        new = np.ones(len(rows), bool)
+        new[1:] = (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0) | (np.diff(rows[:, 2]) > n[1:] + 2 * tau[1:])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(rows)) - 1
+        for (row, i, start), end_at in zip(rows[at].tolist(), rows[last, 2].tolist()):
+            (item_id, item), tau = c.items[i], int(c.budget[i])
             n = len(item)
-            lo, hi = max(first[row], at - tau), min(after[row], at + n + tau)
-            # edits leave n - tau of the item's words in place
-            if hi - lo < n - tau or np.count_nonzero(c.seen[i][low[lo:hi]]) < n - tau:
-                continue
-            best = found.get((row, item_id))
-            if best and (best[0] == 0 or lo <= best[1] < hi):
-                continue
+            lo, hi = max(first[row], start - tau), min(after[row], end_at + n + tau)
             part = h[lo:hi]
             if np.isin(item, part).sum() < n - tau:
                 continue
             d, end = passage_distance(item, part)
+            best = found.get((row, item_id))
             if d <= tau and (best is None or d < best[0]):
                 found[row, item_id] = (d, lo + max(0, end - n))
     return [(r, i, d, at - int(w.first[r])) for (r, i), (d, at) in found.items()]
@@ -178,7 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", max_edit: float = 0.2, min_words: int = 5) -> Iterator[list[Class]]:
+def item_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", max_edit: float = 0.2, min_words: int = 5) -> Iterator[list[Index]]:
     """The benchmark's index, a block of about BLOCK_WORDS words at a time; one empty index if there are no items."""
     it = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null")
     block, size, some = [], 0, False
@@ -195,7 +169,7 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "te
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", max_edit: float = 0.2, min_words: int = 5) -> DataFrame:
     """The rows of docs, with all columns, that hold no item; one pass without a shuffle for each block of items."""
 
-    def keeper(classes: list[Class]):
+    def keeper(classes: list[Index]):
         shared = docs.sparkSession.sparkContext.broadcast(classes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +189,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     return out
 
 
-def _pass(df: DataFrame, classes: list[Class]):
-    shared = df.sparkSession.sparkContext.broadcast(classes)  # at most BLOCK_WORDS words, their keys and sieves
+def _pass(df: DataFrame, classes: list[Index]):
+    shared = df.sparkSession.sparkContext.broadcast(classes)  # at most BLOCK_WORDS words, their pieces and sieves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -73,3 +73,30 @@ def test_short_items():
 
     raw, off = buffers(pa.array(["q a b c d e", "a b c d e f g", "a b c z e f g"]))
     assert sorted((r, i, d) for r, i, d, _ in D.search(Words(raw, off, WORDISH), classes)) == [(0, 1, 0), (1, 1, 0), (1, 2, 0), (2, 1, 1), (2, 2, 1)]
+
+
+def found(items, docs, **how):
+    from stratalith.llm.words import WORDISH, Words, buffers
+    import pyarrow as pa
+
+    raw, off = buffers(pa.array([" ".join(t) for t in docs]))
+    return {(r, i): d for r, i, d, _ in D.search(Words(raw, off, WORDISH), D.make_classes([(i, " ".join(t)) for i, t in items], **how))}
+
+
+def test_no_occurrence_within_the_edits_is_lost():
+    rnd = random.Random(4)
+    vocab = [f"w{k}" for k in range(400)]
+    words = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [(i, words(n)) for i, n in enumerate([15, 28, 28, 40, 59, 22])]
+    docs = []
+    for _, t in items:
+        tau = len(t) // 5
+        docs += [t[tau:], t[:-tau], words(200) + t[tau:], words(37) + t[tau:] + words(50), words(tau) + t[tau:]]  # cut or rewritten at an end; alone, last, inside
+        for _ in range(20):
+            cut = list(t)
+            for k in rnd.sample(range(len(t)), tau):
+                cut[k] = rnd.choice(["other", None])
+            docs.append(words(rnd.randrange(60)) + [x for x in cut if x] + words(rnd.choice([0, 30])))
+    want = {(r, i): d for r, t in enumerate(docs) for i, w in items if (d := edit_slow(w, t)) <= len(w) // 5}
+    assert len(want) >= len(docs)
+    assert found(items, docs) == want
