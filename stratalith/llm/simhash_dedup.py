@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalith.llm.components import connected
 from stratalith.llm.keys import NULL_ID, ensure_checkpoint_dir, id_key, table
@@ -51,18 +51,20 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(U64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """_id (as given), _k (null as the largest), fp (long) for each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, also: dict[str, Column] | None = None) -> DataFrame:
+    """_id (as given), _k (null as the largest), the long columns `also` and fp (long) for each row."""
+    also = also or {}
+    carried = ["_id", "_k", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = buffers(batch.column("_text"))
             for lo, hi in chunks(offsets):
                 fps = np.fromiter((fingerprint(raw[offsets[i] : offsets[i + 1]].tobytes(), shingle) for i in range(lo, hi)), U64, hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), batch.column("_k").slice(lo, hi - lo), pa.array(fps.view(np.int64))], names=["_id", "_k", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in carried), pa.array(fps.view(np.int64))], names=[*carried, "fp"])
 
-    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), id_key(id_col).alias("_k"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return df.mapInArrow(run, "_id long, _k long, fp long")
+    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), id_key(id_col).alias("_k"), *(x.alias(c) for c, x in also.items()), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return df.mapInArrow(run, "".join(f"{c} long, " for c in carried) + "fp long")
 
 
 # ---------------------------------------------------------------- the top of the tree, on the driver
@@ -217,6 +219,13 @@ def linked(distinct: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFram
     return distinct.mapInArrow(spread, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(solve, "a long, b long")
 
 
+def _rooted(marked: DataFrame, radius: int, shard: int) -> DataFrame:
+    """Each fingerprint (fp) with its least id (k) and the root of its component."""
+    by_fp = marked.groupBy("fp").agg(F.min("_k").alias("k"))
+    roots = connected(linked(by_fp.select("fp"), radius, shard))
+    return by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "k", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -231,9 +240,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     marked = fingerprints(docs, id_col, text_col, shingle).checkpoint()
-    by_fp = marked.groupBy("fp").agg(F.min("_k").alias("k"))
-    roots = connected(linked(by_fp.select("fp"), radius, shard))
-    named = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "k", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(marked, radius, shard)
     least = named.groupBy("root").agg(F.min("k").alias("c"))
     of = named.join(least, "root").select("fp", "c")
     return marked.join(of, "fp").select(
@@ -241,15 +248,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, with all columns, that stand for their component: the one of smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard: int = SHARD) -> DataFrame:
+    """One row of docs, with all columns, for each component: that of smallest id (null as the largest), then of least text hash.
 
-    Rows of one id are one document, of which the row of least text hash stays.
+    Rows are told apart by id and text, so neither a repeated id nor a null one
+    stands for more than its own component. Of rows equal in both, the one of
+    least hash of the other columns (as far as Spark can hash them) stays.
     """
-    best = classes(docs, id_col, text_col, **how).where(F.col("_k") == F.coalesce("component_id", F.lit(NULL_ID))).select(F.col("_k").alias("_stx_rep")).distinct()
-    keyed = docs.withColumn("_stx_k", id_key(id_col)).join(best, F.col("_stx_k") == F.col("_stx_rep"), "left_semi")
-    w = Window.partitionBy("_stx_k").orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    return keyed.withColumn("_stx_n", F.row_number().over(w)).where("_stx_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    ensure_checkpoint_dir(docs.sparkSession)
+    text = F.col(f"`{text_col}`").cast("string")
+    hashes = {"_stx_a": F.xxhash64(text), "_stx_b": F.xxhash64(F.lit(1), text)}
+    marked = fingerprints(docs, id_col, text_col, shingle, hashes).checkpoint()
+    best = marked.join(_rooted(marked, radius, shard).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("_k", *hashes)).alias("m")).select(F.col("m._k").alias("_stx_k"), *(f"m.{c}" for c in hashes))
+    key = ["_stx_k", *hashes]
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    w = Window.partitionBy(*key).orderBy(F.xxhash64(*rest))
+    # copies of a row go first, as far as possible before the shuffle
+    keyed = docs.withColumns({"_stx_k": id_key(id_col), **hashes}).withColumn("_stx_n", F.row_number().over(w)).where("_stx_n = 1")
+    return keyed.join(best, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -65,3 +65,14 @@ def test_classes(spark):
     want = sorted((str(i), f"{f:016x}", "None" if least[c] == 2**63 - 1 else str(least[c])) for (i, _), f, c in zip(rows, fps, comp))
     assert got == want
     assert S.classes(df.where("doc_id < 0")).collect() == []
+
+
+def test_keep_one_row_of_each_component(spark):
+    rnd = random.Random(6)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (3, e), (3, c), (None, e.upper())]  # a, b, c, d, e: two null ids, a repeated id of two texts
+    df = spark.createDataFrame([(*r, {"k": n}, n) for n, r in enumerate(rows)], "doc_id long, text string, extra map<string,int>, fp int")
+    got = S.keep_one(df, shard=3)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("None", a), ("None", b), ("1", c), ("1", d), ("3", e)])
