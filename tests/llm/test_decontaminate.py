@@ -100,3 +100,24 @@ def test_no_occurrence_within_the_edits_is_lost():
     want = {(r, i): d for r, t in enumerate(docs) for i, w in items if (d := edit_slow(w, t)) <= len(w) // 5}
     assert len(want) >= len(docs)
     assert found(items, docs) == want
+
+
+def test_short_items_and_least_edits():
+    short = [(1, ["x"]), (2, ["x", "y"]), (3, "p q r s".split())]
+    docs = ["a x b".split(), "x y".split(), "z p q r s".split(), "p q r t".split(), "xy".split(), ["y", "x"]]
+    assert found(short, docs, min_words=1) == {(0, 1): 0, (1, 1): 0, (1, 2): 0, (2, 3): 0, (5, 1): 0}
+    assert found(short, docs) == {}
+    rnd = random.Random(9)
+    vocab = [f"w{k}" for k in range(12)]
+    items = [(i, [rnd.choice(vocab) for _ in range(20)]) for i in range(4)]
+    docs = []
+    for _ in range(40):  # several places of one item, near each other, of unlike edits
+        out = []
+        for _ in range(3):
+            t = list(rnd.choice(items)[1])
+            for k in rnd.sample(range(20), rnd.randint(0, 4)):
+                t[k] = rnd.choice(vocab)
+            out += t[rnd.randint(0, 3) :]
+        docs.append(out)
+    want = {(r, i): d for r, t in enumerate(docs) for i, w in items if (d := edit_slow(w, t)) <= 4}
+    assert found(items, docs) == want
