@@ -20,7 +20,7 @@ from stratalith.llm.keys import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule): host, then path prefix.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Suffixes of two labels; any other suffix is the last label.
 DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 
@@ -129,16 +129,10 @@ def _host_part(kind: str) -> str:
     return f"CASE WHEN {two} IN ({doubles}) THEN {yes} ELSE {no} END"
 
 
-def _rule_sql(what: str) -> str:
-    arms = []
-    for decision, text in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
-        name, slash, rest = text.partition("/")
-        arms.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}') THEN '{text if what == 'rule' else decision}'")
-    return "CASE " + " ".join(arms) + " END"
-
-
+#: The rules are written out here a second time, on purpose: from the contract, not from RULES.
 SQL = rf"""
-WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+WITH rules(verdict, host_part, path_part) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT doc_id AS page_id, count(*) AS ln, sum(CASE WHEN coalesce(toxic = 1, false) OR coalesce(quality = 0, false) THEN 1 ELSE 0 END) AS lb
     FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY 1),
@@ -151,7 +145,9 @@ root AS (SELECT (coalesce(sum(b), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0)::DOUBL
 s AS (SELECT suffix, (m * k + b) / (k + n) AS ms FROM suffixes, root, k_suffixes),
 d AS (SELECT domain, (ms * k + b) / (k + n) AS md FROM domains JOIN s USING (suffix), k_domains),
 r AS (SELECT host, (md * k + b) / (k + n) AS rate, k, n FROM hosts JOIN d USING (domain), k_hosts),
-f AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (k + n + 1)) AS lower_ FROM r)
-SELECT page_id, host, path, {_rule_sql('rule')} AS "rule", coalesce({_rule_sql('verdict')}, CASE WHEN lower_ > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-    round(rate, 6) AS rate, round(lower_, 6) AS lower FROM p JOIN f USING (host)
+f AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (k + n + 1)) AS lower_ FROM r),
+j AS (SELECT host, path, max_by(host_part || path_part, length(host_part || path_part)) AS "rule", max_by(rules.verdict, length(host_part || path_part)) AS decided
+    FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON ends_with('.' || host, '.' || host_part) AND starts_with(path, path_part) GROUP BY 1, 2)
+SELECT page_id, p.host, p.path, "rule", coalesce(decided, CASE WHEN lower_ > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+    round(rate, 6) AS rate, round(lower_, 6) AS lower FROM p JOIN f ON p.host = f.host LEFT JOIN j ON p.host = j.host AND p.path = j.path
 """

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratalith.llm import chat_format, license_scan, simhash_dedup, toxicity, url_filter
+from stratalith.llm import chat_format, license_scan, simhash_dedup, toxicity
 
 
 def corpus(folder):
@@ -90,21 +90,6 @@ def test_license_edges(spark):
     assert list(r.licenses) == ["BSD-2-Clause"] and len(r.hits) == 3
 
 
-def test_url_edges(spark):
-    urls = ["http://A.Example.COM/en/7x?q", "https://b.net/de/1#z", "http://x.example.net/de/8", "http://org/es/", "http://xorg/es/", "nothing", None, "://", "ftp://u:p@h.co.uk:80", "http://a.com?x=/en/"]
-    p = spark.createDataFrame([(i, u, 1, "s") for i, u in enumerate(urls)] + [(None, urls[0], 1, "s")], "page_id long, url string, n int, rule string")
-    l = spark.createDataFrame([(5, 0, 1), (5, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(p, l).collect()}
-    assert got[0] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and got[1] == ("b.net", "/de/1", "net/de/", "block") and got[2][2:] == ("example.net/de/8", "allow")
-    assert got[3][2] == "org/es/" and got[4][2] is None and got[5][:3] == got[6][:3] == got[7][:3] == ("", "", None)
-    assert got[8][:2] == ("u:p@h.co.uk:80", "") and got[9] [1:3] == ("", None) and got[None] == got[0]
-    assert url_filter.filter_urls(p.where("page_id < 0"), l).collect() == []
-    many = spark.createDataFrame([(i, f"http://bad{i % 3}.evil.net/{i}") for i in range(60)] + [(100 + i, f"http://s{i % 4}.good.net/{i}") for i in range(200)], "page_id long, url string")
-    marks = spark.createDataFrame([(i, 0, 1) for i in range(59)] + [(100 + i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
-    v = {r.page_id: r.verdict for r in url_filter.filter_urls(many, marks).collect()}
-    assert v[59] == "block" and v[100] == "allow"
-
-
 def test_chat_edges(spark):
     t = lambda *x: [{"role": r, "text": s} for r, s in x]
     rows = [(1, t(("user", "q"), ("assistant", "a")), t(("user", "q"), ("assistant", "b"))), (2, None, None), (3, t(("user", None)), t(("user", None))), (4, t(("system", "s")), []), (1, t(("user", "x" * 300_000)), t(("assistant", "é")))]
