@@ -121,3 +121,34 @@ def test_short_items_and_least_edits():
         docs.append(out)
     want = {(r, i): d for r, t in enumerate(docs) for i, w in items if (d := edit_slow(w, t)) <= 4}
     assert found(items, docs) == want
+
+
+def planted(seed, sizes, share=0.2, per=12):
+    rnd = random.Random(seed)
+    vocab = [f"w{k}" for k in range(3000)]
+    words = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items, docs = [(i, words(rnd.randint(lo, hi))) for i, (lo, hi) in enumerate(sizes)], []
+    for i, item in items:
+        for _ in range(per):
+            t = list(item)
+            for _ in range(int(share * len(item))):
+                k, kind = rnd.randrange(len(t)), rnd.choice("sid")
+                t[k : k + 1] = [rnd.choice(vocab)] if kind == "s" else [t[k], rnd.choice(vocab)] if kind == "i" else []
+            docs.append((i, words(rnd.randrange(80)) + t + words(rnd.randrange(80))))
+    return items, docs
+
+
+def test_recall_over_lengths_at_the_full_edit_budget():
+    items, docs = planted(11, [(5, 9), (10, 14), (15, 29), (30, 60), (60, 100), (150, 290), (400, 790), (1000, 1000)])
+    got = found(items, [t for _, t in docs])
+    for r, (i, t) in enumerate(docs):  # by construction all are within the edits
+        assert (r, i) in got
+        if len(t) < 300:
+            assert got[r, i] == edit_slow(dict(items)[i], t)
+
+
+def test_repetitions_reach_the_target_where_windows_may_hold_edits():
+    items, docs = planted(12, [(12, 20), (20, 40), (40, 90)], per=60)
+    got = found(items, [t for _, t in docs], window_edits=1, target=0.95)
+    assert sum((r, i) in got for r, (i, _) in enumerate(docs)) / len(docs) >= 0.95
+    assert D.repeats(8, 0, 0.95) == 1 < D.repeats(8, 1, 0.95) < D.repeats(8, 1, 0.99) < D.MOST_REPEATS
