@@ -4,14 +4,28 @@ Distinct fingerprints are split into shards by a vantage-point tree: a node
 holds a vantage fingerprint and a radius, and sends what is nearer to the left.
 A fingerprint lives in one home shard and also visits every later shard that
 the triangle inequality cannot rule out for its search radius, so each linked
-pair meets in exactly one shard. Within a shard the same bounds prune a second,
-finer tree over rings of equal distance, and what is left is compared exactly.
+pair meets in exactly one shard of a tree. Within a shard the same bounds prune
+a second, finer tree over rings of equal distance, and what is left is compared
+exactly.
+
+Random fingerprints crowd at the boundaries of a tree: with radius 3 of 64 bits
+every level sends half of them both ways, so copies grow as the number of
+shards to the power 0.6. Two fingerprints within r bits lie within r // p bits
+in one of p equal parts, so there may be a tree for each part instead, over the
+distances of that part and with that radius: power 0.3 for two parts, and just
+four copies for four. The plan with the fewest copies on the sample is taken.
+
+A shard of more rows than a task should hold (a family of very many unlike
+fingerprints within few bits of each other, which no distance tells apart) is
+compared in tiles of blocks of its rows.
+
 A shard returns a spanning forest of its links, never all pairs, and components
 are found over those edges; copies of one text are one fingerprint throughout.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -22,14 +36,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalith.llm.components import connected
 from stratalith.llm.keys import NULL_ID, ensure_checkpoint_dir, id_key, table
-from stratalith.llm.words import buffers, chunks
+from stratalith.llm.words import buffers, chunks, mix
 
 U64 = np.uint64
-#: Fingerprints in the sample from which the driver builds the top of the tree.
-SAMPLE = 4096
-#: Fingerprints at home in one shard, about.
-SHARD = 30_000
+log = logging.getLogger(__name__)
+#: Fingerprints in the sample from which the driver builds the top of the tree: at least, for each shard, at most.
+SAMPLE, SAMPLE_EACH, SAMPLE_MOST = 4096, 16, 1 << 20
+#: Fingerprints at home in one shard, about; rows in one task at most (twice as many in a tile).
+SHARD, BOUND = 100_000, 400_000
 TILE = 1 << 18
+#: How many parts a fingerprint may be cut into.
+PARTS = (1, 2, 4)
 
 
 def fingerprint(data: bytes, shingle: int = 3) -> int:
@@ -70,8 +87,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---------------------------------------------------------------- the top of the tree, on the driver
 
 
-def build_tree(sample: np.ndarray, leaves: int) -> list:
-    """Nodes as (vantage, radius, left, right), a negative child -1-k is leaf k; leaves are numbered from the left."""
+def build_tree(sample: np.ndarray, leaves: int, radius: int = 3) -> list:
+    """Nodes as (vantage, radius, left, right), a negative child -1-k is leaf k.
+
+    Of some vantages and of all distances that leave 30 % on either side the
+    split is taken that makes the fewest visitors for what it tells apart.
+    """
     nodes: list = []
     count = [0]
 
@@ -82,18 +103,26 @@ def build_tree(sample: np.ndarray, leaves: int) -> list:
     def grow(part: np.ndarray, want: int) -> int:
         if want <= 1 or len(part) < 8:
             return leaf()
-        tries = part[:: max(1, len(part) // 16)][:16]
-        d = np.bitwise_count(tries[:, None] ^ part[None, :]).astype(np.int16)
-        at = int(np.argmax(d.std(axis=1)))
-        radius = int(np.median(d[at]))
-        near = d[at] <= radius
-        if near.all():
+        tries, n, best = part[:: max(1, len(part) // 16)][:16], len(part), None
+        for t in tries:
+            upto = np.cumsum(np.bincount(np.bitwise_count(part ^ t), minlength=65))
+            able = np.flatnonzero((upto >= 0.3 * n) & (upto <= 0.7 * n))
+            for r in able.tolist() or [int(np.searchsorted(upto, n / 2))]:
+                p = upto[r] / n
+                if p < 1:
+                    visits = (upto[min(64, r + radius)] - upto[max(0, r - radius)]) / n
+                    cost = np.log2(1 + visits) / -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+                    if best is None or cost < best[0]:
+                        best = (cost, t, r, p)
+        if best is None:
             return leaf()
-        me = len(nodes)
+        _, vantage, r, p = best
+        near = np.bitwise_count(part ^ vantage) <= r
+        me, first = len(nodes), min(max(1, round(want * p)), want - 1)
         nodes.append(None)
-        left = grow(part[near], want // 2)
-        right = grow(part[~near], want - want // 2)
-        nodes[me] = (int(tries[at]), radius, left, right)
+        left = grow(part[near], first)
+        right = grow(part[~near], want - first)
+        nodes[me] = (int(vantage), r, left, right)
         return me
 
     root = grow(sample, leaves)
@@ -153,9 +182,16 @@ class Forest:
             i, j = i[differ], j[differ]
 
 
-def link(fps: np.ndarray, home: np.ndarray, radius: int) -> Forest:
-    """Union of all pairs within `radius` of which one is at home here."""
+def part_of(fps: np.ndarray, parts: int, k: int) -> np.ndarray:
+    """The k-th of `parts` equal parts of the fingerprints' bits."""
+    width = 64 // parts
+    return (fps >> U64(k * width)) & U64((1 << width) - 1)
+
+
+def link(fps: np.ndarray, home: np.ndarray, radius: int, part: np.ndarray | None = None, part_radius: int = 0) -> Forest:
+    """Union of the pairs within `radius` (and, if a part is given, within part_radius there) of which one is at home here; others may be found too."""
     forest, mine = Forest(len(fps)), np.flatnonzero(home)
+    metrics = ([] if part is None else [(part, part_radius)]) + [(fps, radius)]
 
     def brute(a: np.ndarray, b: np.ndarray) -> None:
         step = max(1, TILE // max(1, min(len(b), TILE)))
@@ -170,53 +206,95 @@ def link(fps: np.ndarray, home: np.ndarray, radius: int) -> Forest:
                 i, j = x[i], y[j]
                 forest.join(i[i != j], j[i != j])
 
-    def search(a: np.ndarray, b: np.ndarray, depth: int) -> None:
+    def search(a: np.ndarray, b: np.ndarray, depth: int, level: int) -> None:
         if not len(a) or not len(b):
             return
-        if len(a) * len(b) <= TILE or depth > 12:
+        if len(a) * len(b) <= TILE or depth > 24:
             return brute(a, b)
-        vantage = fps[a[(len(a) * 7 + depth * 13) // 11 % len(a)]]
-        da, db = np.bitwise_count(fps[a] ^ vantage), np.bitwise_count(fps[b] ^ vantage)
+        of, reach = metrics[level]
+        vantage = of[a[(len(a) * 7 + depth * 13) // 11 % len(a)]]
+        da, db = np.bitwise_count(of[a] ^ vantage), np.bitwise_count(of[b] ^ vantage)
         oa, ob = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
         a, da, b, db = a[oa], da[oa].astype(np.int16), b[ob], db[ob].astype(np.int16)
-        if da[-1] - da[0] < 4 and db[-1] - db[0] <= 2 * radius + 3:
-            half = len(a) // 2  # all at one distance: no bound helps, so the block is halved
-            if half == 0:
-                return brute(a, b)
-            search(a[:half], b, depth + 1)
-            return search(a[half:], b, depth + 1)
-        for v in range(int(da[0]), int(da[-1]) + 1, 4):
-            x = a[np.searchsorted(da, v, "left") : np.searchsorted(da, v + 3, "right")]
-            y = b[np.searchsorted(db, v - radius, "left") : np.searchsorted(db, v + 3 + radius, "right")]
-            search(x, y, depth + 1)
-
-    search(mine, np.arange(len(fps)), 0)
+        if da[-1] - da[0] <= reach and db[-1] <= da[-1] + reach and db[0] >= da[0] - reach:
+            if level + 1 < len(metrics):
+                return search(a, b, depth, level + 1)
+            half = len(a) // 2  # all in one ring: no bound helps, so the block is halved
+            search(a[:half], b, depth + 1, level)
+            return search(a[half:], b, depth + 1, level)
+        for v in range(int(da[0]), int(da[-1]) + 1, reach + 1):
+            x = a[np.searchsorted(da, v, "left") : np.searchsorted(da, v + reach, "right")]
+            y = b[np.searchsorted(db, v - reach, "left") : np.searchsorted(db, v + 2 * reach, "right")]
+            search(x, y, depth + 1, level)
+
+    search(mine, np.arange(len(fps)), 0, 0)
     return forest
 
 
-def linked(distinct: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
+def plan(sample: np.ndarray, leaves: int, radius: int) -> tuple[float, list[list]]:
+    """Copies of each fingerprint, and a tree for each part, of the plan that makes the fewest."""
+    best = None
+    for parts in PARTS:
+        trees = [build_tree(part_of(sample, parts, k), leaves, radius // parts) for k in range(parts)]
+        copies = sum(len(route(t, part_of(sample, parts, k), radius // parts)[0]) for k, t in enumerate(trees)) / max(1, len(sample))
+        if best is None or copies < best[0]:
+            best = (copies, trees)
+    return best
+
+
+def linked(distinct: DataFrame, radius: int = 3, shard: int = SHARD, bound: int = BOUND) -> DataFrame:
     """Edges (a, b) of a spanning forest, shard by shard, over distinct fingerprints (column fp)."""
     n = distinct.count()
-    leaves = max(1, math.ceil(n / shard))
-    nodes = []
+    leaves, trees = max(1, math.ceil(n / shard)), [[]]
     if leaves > 1:
-        some = distinct.orderBy(F.xxhash64("fp")).limit(max(SAMPLE, min(4 * leaves, 1 << 16))).collect()
-        nodes = build_tree(np.array([r.fp for r in some], np.int64).view(U64), leaves)
+        want = max(SAMPLE, min(SAMPLE_EACH * leaves, SAMPLE_MOST))
+        some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(min(1.0, want / n) * (1 << 30)))).collect()
+        copies, trees = plan(np.array([r.fp for r in some], np.int64).view(U64), leaves, radius)
+        log.info("%d fingerprints, %d trees of %d shards, %.1f copies of each", n, len(trees), leaves, copies)
+    parts = len(trees)
+
+    def routed(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k, nodes in enumerate(trees):
+            idx, where, home = route(nodes, part_of(fps, parts, k), radius // parts)
+            yield idx, where + (k << 32), home
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, where, _ in routed(np.asarray(batch.column("fp")).astype(np.int64).view(U64)):
+                shards, rows = np.unique(where, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(rows.astype(np.int64))], names=["shard", "n"])
+
+    counted = distinct.mapInArrow(sizes, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    blocks = {r.shard: math.ceil(r.n / bound) for r in counted.where(F.col("n") > bound).collect()}  # the shards are as many as the leaves
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.asarray(batch.column("fp")).astype(np.int64)
-            idx, where, home = route(nodes, fps.view(U64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(fps[idx]), pa.array(home)], names=["shard", "fp", "home"])
+            for idx, where, home in routed(fps.view(U64)):
+                some = np.isin(where, list(blocks)) if blocks else np.zeros(len(where), bool)
+                zero = np.zeros(int((~some).sum()), np.int64)
+                out = [(where[~some], zero, zero, fps[idx][~some], home[~some])]
+                for s in np.unique(where[some]).tolist():
+                    x, h, k = fps[idx][where == s], home[where == s], blocks[s]
+                    mine = (mix(x.view(U64), 5) % U64(k)).astype(np.int64)
+                    for i in range(k):
+                        # block i of those at home meets the home rows of blocks from i on, and the visitors of all blocks
+                        with_ = ~h | (mine >= i)
+                        out.append((np.full(int(with_.sum()), s), np.full(int(with_.sum()), i), mine[with_], x[with_], (h & (mine == i))[with_]))
+                        for j in (j for j in range(k) if j != i):
+                            a = x[h & (mine == i)]
+                            out.append((np.full(len(a), s), np.full(len(a), i), np.full(len(a), j), a, np.ones(len(a), bool)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["shard", "i", "j", "fp", "home"])
 
     def solve(t: pa.Table) -> pa.Table:
-        fps = t.column("fp").to_numpy().astype(np.int64)
-        forest = link(fps.view(U64), t.column("home").to_numpy().astype(bool), radius)
+        fps, k = t.column("fp").to_numpy().astype(np.int64), t.column("shard")[0].as_py() >> 32
+        part = None if parts == 1 else part_of(fps.view(U64), parts, k)
+        forest = link(fps.view(U64), t.column("home").to_numpy().astype(bool), radius, part, radius // parts)
         root = forest.find(np.arange(len(fps)))
         at = np.flatnonzero(root != np.arange(len(fps)))
         return pa.table({"a": fps[at], "b": fps[root[at]]})
 
-    return distinct.mapInArrow(spread, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(solve, "a long, b long")
+    return distinct.mapInArrow(spread, "shard long, i long, j long, fp long, home boolean").groupBy("shard", "i", "j").applyInArrow(solve, "a long, b long")
 
 
 def _rooted(marked: DataFrame, radius: int, shard: int) -> DataFrame:

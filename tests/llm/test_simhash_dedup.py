@@ -76,3 +76,56 @@ def test_keep_one_row_of_each_component(spark):
     got = S.keep_one(df, shard=3)
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("None", a), ("None", b), ("1", c), ("1", d), ("3", e)])
+
+
+def near_family(rnd, n, base=400):
+    base = rnd.integers(0, 2**63, base, dtype=np.uint64)
+    near = base[rnd.integers(0, len(base), n)]
+    for _ in range(3):
+        near = near ^ (np.uint64(1) << rnd.integers(0, 64, n).astype(np.uint64))
+    return np.unique(np.concatenate([base, near]))
+
+
+def test_a_tree_for_each_part_finds_every_link():
+    fps = near_family(np.random.default_rng(4), 1500)
+    want = brute_components([int(x) for x in fps])
+    for parts in (2, 4):
+        forest = S.Forest(len(fps))
+        for k in range(parts):
+            of = S.part_of(fps, parts, k)
+            idx, shard, home = S.route(S.build_tree(of[::2], 8, 3 // parts), of, 3 // parts)
+            assert home.sum() == len(fps) and len(set(shard.tolist())) >= 6
+            for s in set(shard.tolist()):
+                at = shard == s
+                f = S.link(fps[idx[at]], home[at], 3, of[idx[at]], 3 // parts)
+                forest.join(idx[at], idx[at][f.find(np.arange(at.sum()))])
+        assert forest.find(np.arange(len(fps))).tolist() == want
+
+
+def test_copies_and_shard_sizes_as_shards_grow():
+    rnd = np.random.default_rng(5)
+    fps = rnd.integers(0, 2**64, 60_000, dtype=np.uint64)
+    for leaves, most in ((8, 3), (500, 4.1), (10_000, 4.1)):
+        copies, trees = S.plan(rnd.integers(0, 2**64, max(4096, 16 * leaves), dtype=np.uint64), leaves, 3)
+        parts, total = len(trees), 0
+        for k, nodes in enumerate(trees):
+            idx, shard, home = S.route(nodes, S.part_of(fps, parts, k), 3 // parts)
+            at_home = np.bincount(shard[home])
+            total += len(idx)
+            assert len(nodes) + 1 >= 0.9 * leaves and at_home.max() <= 8 * len(fps) / leaves + 20
+        assert total / len(fps) <= most and abs(copies - total / len(fps)) < 1
+
+
+def test_a_crowded_shard_is_compared_in_tiles(spark):
+    rnd = np.random.default_rng(6)
+    centre = int(rnd.integers(0, 2**63))
+    crowd = {centre ^ sum(1 << int(b) for b in set(rnd.integers(0, 64, rnd.integers(0, 6)))) for _ in range(1500)}  # within five bits of each other's centre
+    fps = np.unique(np.concatenate([np.array(list(crowd), np.uint64), near_family(rnd, 300, 100)]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    want = brute_components([int(x) for x in fps])
+    for shard, bound in ((10**6, 200), (300, 150)):
+        forest = S.Forest(len(fps))
+        edges = S.linked(df, 3, shard, bound).collect()
+        forest.join(np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges]))
+        assert forest.find(np.arange(len(fps))).tolist() == want
