@@ -44,3 +44,12 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_rows_without_an_id(spark):
+    rnd = random.Random(2)
+    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(30)) for _ in range(6)]
+    rows = [(None if i % 3 else i, " ".join(rnd.choice(pool) if rnd.random() < 0.5 else str(rnd.random()) for _ in range(rnd.randint(0, 40)))) for i in range(150)]
+    rows += [(None, rows[3][1]), (None, rows[4][1]), (None, rows[4][1]), (3, rows[6][1]), (None, None)]
+    key = lambda r: (str(r[0]), r)
+    assert sorted(run(spark, rows, 20), key=key) == sorted(brute(rows, 20), key=key)
