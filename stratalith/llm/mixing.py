@@ -26,6 +26,8 @@ TOKENS = r"[^\x20\x09-\x0D]+"
 BLOCK_DOCS = 4096
 #: Exponents tried in one round; each round narrows the bracket by as much.
 SECTIONS, ROUNDS = 32, 11
+#: The largest exponent: nearly all weight is on the largest sources there.
+STEEPEST = 16.0
 
 
 def token_count(text: Column) -> Column:
@@ -43,10 +45,12 @@ def _entropies(sources: DataFrame, exponents: list[float]) -> list[float]:
 
 
 def find_exponent(sources: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None) -> float:
-    """The exponent in [0, 1] that meets the target.
+    """The exponent that meets the target: in [0, STEEPEST] for an entropy, in [0, 1] for a limit of repeats.
 
     target_entropy: a share of the highest entropy there can be (log of the
-    number of sources); where the plain shares are more even already, 1.
+    number of sources). Exponents below 1 make the plain shares more even, those
+    above 1 less; a target below what STEEPEST gives (equal largest sources) gets
+    STEEPEST.
     max_repeats: passes over the most repeated source at most, when the least
     repeated one is passed over once. Entropy falls and repetition falls as the
     exponent rises, so bisection (by sections of a bracket) is sound.
@@ -63,9 +67,7 @@ def find_exponent(sources: DataFrame, target_entropy: float | None = None, max_r
             else:
                 hi = mid
         return hi
-    goal, lo, hi = target_entropy * math.log(top[0]), 0.0, 1.0
-    if _entropies(sources, [1.0])[0] >= goal:
-        return 1.0
+    goal, lo, hi = target_entropy * math.log(top[0]), 0.0, STEEPEST
     for _ in range(ROUNDS):
         grid = [lo + (hi - lo) * k / SECTIONS for k in range(SECTIONS + 1)]
         if not all(a < b for a, b in zip(grid, grid[1:])):
@@ -148,11 +150,10 @@ WITH RECURSIVE d AS (SELECT doc_id, source, sum(coalesce(len(regexp_extract_all(
 c AS (SELECT source, sum(n_tokens)::BIGINT AS n FROM d GROUP BY 1),
 s AS (SELECT source, n, n / (SELECT sum(n) FROM c)::DOUBLE AS share FROM c),
 g AS (SELECT {TARGET} * ln(count(*)) AS goal FROM s WHERE n > 0),
-f AS (SELECT ln(sum(share)) - sum(share * ln(share)) / sum(share) AS h FROM s WHERE n > 0),
-b(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+b(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, {STEEPEST}::DOUBLE UNION ALL
   SELECT k + 1, CASE WHEN h >= goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN h >= goal THEN hi ELSE (lo + hi) / 2 END
   FROM (SELECT k, lo, hi, goal, (SELECT ln(sum(pow(share, (lo + hi) / 2))) - sum(pow(share, (lo + hi) / 2) * ln(pow(share, (lo + hi) / 2))) / sum(pow(share, (lo + hi) / 2)) FROM s WHERE n > 0) AS h FROM b, g WHERE k < 55)),
-x AS (SELECT CASE WHEN f.h >= goal THEN 1.0 ELSE lo END AS e FROM b, g, f WHERE k = 55),
+x AS (SELECT CASE WHEN (SELECT count(*) FROM s WHERE n > 0) < 2 THEN 1.0 ELSE lo END AS e FROM b WHERE k = 55),
 w AS (SELECT source, n, CASE WHEN n > 0 THEN pow(share, e) / (SELECT sum(pow(share, e)) FROM s, x WHERE n > 0) ELSE 0 END AS weight FROM s, x),
 p AS (SELECT source, n, weight, round(weight * (SELECT sum(n) FROM c))::BIGINT AS budget FROM w),
 q AS (SELECT source, weight, CASE WHEN n > 0 THEN budget // n ELSE 1 END AS whole_, CASE WHEN n > 0 THEN budget % n ELSE -1 END AS rest FROM p),

@@ -51,3 +51,12 @@ def test_repeats_keep_every_document(spark):
     assert M.mix(df.where("doc_id < 0"), max_repeats=2.0).collect() == []
     with pytest.raises(ValueError):
         M.mix(df)
+
+
+def test_a_target_below_the_plain_entropy_and_one_source(spark):
+    df, rows = make(spark)
+    n = [x for x in totals(rows).values() if x]
+    plain = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(4)
+    w = {r.source: r.weight for r in M.mix(df, target_entropy=plain / 2).collect()}
+    assert abs(-sum(x * math.log(x) for x in w.values() if x) - plain / 2 * math.log(4)) < 1e-6 and w["a"] > max(n) / sum(n)
+    assert {r.weight for r in M.mix(df.where("source = 'b'"), target_entropy=0.5).collect()} == {1.0}
