@@ -76,7 +76,7 @@ def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
     key = F.col("conv_id").cast("long")
     even = F.pmod(key, F.lit(2)) == 0
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    g = conversations.where(key.isNotNull()).groupBy(F.floor(key / 2).cast("long").alias("pair_id")).agg(
+    g = conversations.where(key.isNotNull()).groupBy(F.shiftright(key, 1).alias("pair_id")).agg(
         F.array_sort(F.collect_list(F.when(even, turn))).alias("_t"), F.max(F.when(~even & (F.col("role") == "assistant"), turn)).alias("_other"))
     g = g.where(F.size("_t") > 0).withColumn("_last", F.array_max(F.transform("_t", lambda t, i: F.when(t["role"] == "assistant", i))))
     bare = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
