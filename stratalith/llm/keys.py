@@ -23,12 +23,14 @@ def id_key(column: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset: a folder of our own on a local master, an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="stratalith-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

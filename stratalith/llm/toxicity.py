@@ -241,13 +241,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2400, max_chars: int = 20_000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2400, max_chars: int = 20_000, fit_docs: int = 800) -> Field:
     """Train on labelled rows that are not held out.
 
     At most max_docs / 2 documents of either label, of at most max_chars
-    characters, taken by the hash of their id: that is the only bound, and it
-    does not depend on the size of the corpus. Null ids, texts and labels are no
-    training rows.
+    characters, taken by the hash of their id: these mark the words and give the
+    document's logistic function. The field itself is fitted on the first
+    fit_docs of them. The bounds do not depend on the size of the corpus. Null
+    ids, texts and labels are no training rows.
     """
     l = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_k")).agg(F.max("toxic").alias("_y"))
     l = l.where(~held_out(F.col("_k")))
@@ -262,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = d.where(F.col("_k").isin(list(y)) & (F.length("_text") <= max_chars)).select("_k", F.col("_text").alias("t")).collect()
     rank = {k: i for i, k in enumerate(y)}
     rows = sorted({r._k: r.t for r in sorted(rows, key=lambda r: r.t)}.items(), key=lambda kv: rank[kv[0]])
-    return train([t for _, t in rows], np.array([y[k] for k, _ in rows], bool))
+    return train([t for _, t in rows], np.array([y[k] for k, _ in rows], bool), fit_docs=fit_docs)
 
 
 def _scores(raw: np.ndarray, offsets: np.ndarray, f: Field) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -305,7 +306,13 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all columns, that score below the threshold; one pass without a shuffle."""
+    """The rows of docs, with all columns, that score below the threshold; one pass without a shuffle.
+
+    Null, empty and wordless texts have the score of no evidence and stay, unless
+    the base rate alone is above the threshold. Repeated rows and null ids are
+    judged like any other; columns of any name and type pass through; an empty
+    table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((field.weights.astype(np.float32), field.bias, field.trans, field.start, field.scale, field.offset))  # 1 MB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
