@@ -87,3 +87,18 @@ def distance(a: Column, b: Column, kind: str = "l2", p: float = 2.0) -> Column:
     if kind == "cosine":
         return 1 - dot(a, b) / (l2(a) * l2(b))
     return {"l1": l1, "l2": l2, "l2_squared": l2_squared, "l_infinity": l_infinity, "lp": lambda d: lp(d, p)}[kind](_diff(a, b))
+
+
+def trapz(y: Column, x: Column | None = None) -> Column:
+    """Integral by the trapezoid rule; places one apart without x."""
+    n = F.size(y) - 1
+    mean = F.zip_with(F.slice(y, F.lit(1), n), F.slice(y, F.lit(2), n), lambda a, b: (a + b) / 2)
+    if x is None:
+        return total(mean)
+    step = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(2), n), lambda a, b: b - a)
+    return dot(mean, step)
+
+
+def median(a: Column) -> Column:
+    s, n = F.array_sort(a), F.size(a)
+    return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2

@@ -11,16 +11,22 @@ CODES = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S"
 
 def pattern(fmt: str) -> str:
     out, i = "", 0
+    letters = ""  # literal letters stand in one pair of quotes: two pairs in a row would be a quote
     while i < len(fmt):
+        if fmt[i].isalpha() and fmt[i] != "%":
+            letters += fmt[i]
+            i += 1
+            continue
+        out, letters = out + (f"'{letters}'" if letters else ""), ""
         if fmt[i] == "%":
             if fmt[i + 1] not in CODES:
                 raise ValueError(f"%{fmt[i + 1]} is not supported")
             out += CODES[fmt[i + 1]]
             i += 2
         else:
-            out += f"'{fmt[i]}'" if fmt[i].isalpha() else fmt[i]
+            out += "''" if fmt[i] == "'" else fmt[i]
             i += 1
-    return out
+    return out + (f"'{letters}'" if letters else "")
 
 
 def make(y, m=1, d=1, h=0, mi=0, s=0) -> Column:
@@ -84,3 +90,60 @@ def iso(c: Column) -> Column:
 
 def iso_extended(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def from_iso(c: Column) -> Column:
+    """yyyyMMddTHHmmss."""
+    return F.to_timestamp_ntz(c, F.lit("yyyyMMdd'T'HHmmss"))
+
+
+def from_string(c: Column) -> Column:
+    """yyyy-MM-dd HH:mm:ss, with a fraction or without a time of day."""
+    return c.cast("timestamp_ntz")
+
+
+def from_date_string(c: Column) -> Column:
+    """yyyy-MM-dd with - / or a blank between the parts."""
+    return F.to_timestamp_ntz(F.translate(c, "/ ", "--"), F.lit("yyyy-MM-dd"))
+
+
+def from_undelimited(c: Column) -> Column:
+    """yyyyMMdd."""
+    return F.to_timestamp_ntz(c, F.lit("yyyyMMdd"))
+
+
+def epoch() -> Column:
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """One duration in terms of another."""
+    return a.cast("double") / b.cast("double")
+
+
+def is_negative(duration: Column) -> Column:
+    return duration < 0
+
+
+def fractional(duration: Column) -> Column:
+    """Microseconds past the whole second."""
+    return F.abs(duration) % F.lit(MICRO["seconds"])
+
+
+def duration_from_string(c: Column) -> Column:
+    """[-]HH:mm:ss[.ffffff]."""
+    part = lambda i: F.regexp_extract(c, r"^(-?)(\d+):(\d+):(\d+)(?:\.(\d{1,6}))?$", i)
+    size = part(2).cast("long") * MICRO["hours"] + part(3).cast("long") * MICRO["minutes"] + part(4).cast("long") * MICRO["seconds"] + F.rpad(part(5), 6, "0").cast("long")
+    return F.when(part(1) == "-", -size).otherwise(size)
+
+
+def duration_from_float(seconds: Column) -> Column:
+    return F.round(seconds * MICRO["seconds"]).cast("long")
+
+
+#: Digits after the second that a duration keeps.
+FRACTIONAL_DIGITS = 6
+
+
+def float_seconds(c: Column) -> Column:
+    return micros(c) / F.lit(float(MICRO["seconds"]))

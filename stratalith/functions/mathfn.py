@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -87,14 +88,14 @@ def lcm(a: Column, b: Column) -> Column:
 
 
 def combination(n: Column, k: Column) -> Column:
-    return F.round(F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(1.0), lambda s, i: s * (n - i) / (i + 1)))
+    return F.round(F.aggregate(F.filter(F.sequence(F.lit(0), k), lambda i: i < k), F.lit(1.0), lambda s, i: s * (n - i) / (i + 1)))
 
 
 # ---------------------------------------------------------------- special functions, in double precision
 
 
 def _gamma_p(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma: series, or continued fraction (Lentz)."""
+    """Regularised lower incomplete gamma: a series, or what the upper tail leaves."""
     if x <= 0:
         return 0.0
     if x < a + 1:
@@ -105,6 +106,13 @@ def _gamma_p(a: float, x: float) -> float:
             if abs(term) < abs(total) * 1e-16:
                 break
         return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
+    return 1 - _gamma_q(a, x)
+
+
+def _gamma_q(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma: in the tail by its own continued fraction (Lentz), so that small values keep their digits."""
+    if x < a + 1:
+        return 1 - _gamma_p(a, x)
     b, c = x + 1 - a, 1e300
     d = h = 1 / b
     for i in range(1, 10_000):
@@ -115,7 +123,7 @@ def _gamma_p(a: float, x: float) -> float:
         h *= d * c
         if abs(d * c - 1) < 1e-16:
             break
-    return 1 - math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
+    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
 
 def _ibeta(a: float, b: float, x: float) -> float:
@@ -195,18 +203,18 @@ SPECIAL = {
     "digamma": _digamma,
     "tgamma_ratio": lambda a, b: math.exp(math.lgamma(a) - math.lgamma(b)),
     "gamma_p": _gamma_p,
-    "gamma_q": lambda a, x: 1 - _gamma_p(a, x),
+    "gamma_q": _gamma_q,
     "gamma_p_inv": lambda a, y: _invert(lambda x: _gamma_p(a, x), 0.0, _top(a, y), y),
     "gamma_q_inv": lambda a, y: _invert(lambda x: _gamma_p(a, x), 0.0, _top(a, 1 - y), 1 - y),
     "gamma_p_inva": lambda x, y: _invert(lambda a: -_gamma_p(a, x), 1e-9, 10 * x + 100, -y),
-    "gamma_q_inva": lambda x, y: _invert(lambda a: 1 - _gamma_p(a, x), 1e-9, 10 * x + 100, y),
+    "gamma_q_inva": lambda x, y: _invert(lambda a: _gamma_q(a, x), 1e-9, 10 * x + 100, y),
     "gamma_p_derivative": lambda a, x: math.exp(-x + (a - 1) * math.log(x) - math.lgamma(a)),
     "tgamma_lower": lambda a, x: _gamma_p(a, x) * math.gamma(a),
     "beta": lambda a, b: math.exp(_lbeta(a, b)),
     "beta_ln": _lbeta,
-    "betac": lambda a, b, x: (1 - _ibeta(a, b, x)) * math.exp(_lbeta(a, b)),
+    "betac": lambda a, b, x: _ibeta(b, a, 1 - x) * math.exp(_lbeta(a, b)),
     "ibeta": _ibeta,
-    "ibetac": lambda a, b, x: 1 - _ibeta(a, b, x),
+    "ibetac": lambda a, b, x: _ibeta(b, a, 1 - x),
     "ibeta_inv": lambda a, b, y: _invert(lambda x: _ibeta(a, b, x), 0.0, 1.0, y),
     "ibetac_inv": lambda a, b, y: _invert(lambda x: _ibeta(a, b, x), 0.0, 1.0, 1 - y),
     "ibeta_inva": lambda b, x, y: _invert(lambda a: -_ibeta(a, b, x), 1e-9, 1e6, -y),
@@ -267,3 +275,11 @@ def quad(f, a: float, b: float, tol: float = 1e-10) -> float:
     m = (a + b) / 2
     fa, fb, fm = f(a), f(b), f(m)
     return go(a, fa, b, fb, m, fm, (b - a) / 6 * (fa + 4 * fm + fb), tol, 0)
+
+
+def integral(f: Callable[[Column], Column], upper: Column, lower: Column | float = 0.0, steps: int = 64) -> Column:
+    """Integral of a column function between two columns, by Simpson's rule with an even number of steps."""
+    lo = lower if isinstance(lower, Column) else F.lit(float(lower))
+    h = (upper - lo) / steps
+    weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda s, i: s + weight(i) * f(lo + i * h)) * h / 3

@@ -171,3 +171,91 @@ def is_lower(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     return F.initcap(c)
+
+
+def split_regex(c: Column, pattern: str) -> Column:
+    return F.split(c, pattern)
+
+
+def split_tuple(c: Column, sep: str, n: int) -> Column:
+    """The first n parts as fields _0, _1, ...; missing ones are null."""
+    p = split(c, sep)
+    return F.struct(*(F.get(p, i).alias(f"_{i}") for i in range(n)))
+
+
+def rsplit(c: Column, sep: str, limit: int) -> Column:
+    """At most `limit` splits, from the right."""
+    p = split(c, sep)
+    cut = F.greatest(F.size(p) - limit, F.lit(1))
+    return F.concat(F.array(F.array_join(F.slice(p, F.lit(1), cut), sep)), F.slice(p, cut + 1, F.greatest(F.size(p) - cut, F.lit(0))))
+
+
+def rindex(c: Column, sub: str) -> Column:
+    """rfind() that is an error where there is none."""
+    at = rfind(c, sub)
+    return F.when(at < 0, F.raise_error(F.lit("substring not found"))).otherwise(at)
+
+
+def join(sep: str, parts: Column) -> Column:
+    return F.array_join(parts, sep)
+
+
+def contains(c: Column, sub: str) -> Column:
+    return c.contains(sub)
+
+
+def characters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def escaped(c: Column) -> Column:
+    """Backslashes, quotes, new lines, tabs and carriage returns as escapes."""
+    for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(plain), F.lit(code))
+    return c
+
+
+def hex_digest(words: Column) -> Column:
+    """Eight lower-case hex digits for each 32-bit word of an array."""
+    return F.array_join(F.transform(words, lambda w: F.lower(F.lpad(F.hex(w.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+
+
+def bytes_as_string(values: Column) -> Column:
+    """The text whose UTF-8 bytes an array of integers holds."""
+    return F.decode(F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")), "utf-8")
+
+
+def encode(c: Column, charset: str = "utf-8") -> Column:
+    return F.encode(c, charset)
+
+
+def decode(c: Column, charset: str = "utf-8") -> Column:
+    return F.decode(c, charset)
+
+
+def expandtabs(c: Column, size: int = 8) -> Column:
+    """Tabs become blanks up to the next multiple of size, counted in each line."""
+    def line(text: Column) -> Column:
+        cells = F.split(text, "\t")
+        wide = F.transform(F.slice(cells, F.lit(1), F.size(cells) - 1), lambda x: F.concat(x, F.repeat(F.lit(" "), (F.lit(size) - F.length(x) % size).cast("int"))))
+        return F.concat(F.array_join(wide, ""), F.element_at(cells, -1))
+
+    return F.array_join(F.transform(F.split(c, "\n"), line), "\n")
+
+
+def is_title(c: Column) -> Column:
+    """Whether every run of letters starts with an upper-case letter and goes on in lower case, and there is one."""
+    return c.rlike(r"\p{L}") & ~c.rlike(r"\p{L}\p{Lu}|(?<!\p{L})\p{Ll}")
+
+
+def is_alpha(c: Column) -> Column:
+    return c.rlike(r"^\p{L}+$")
+
+
+def translate(c: Column, old: str, new: str) -> Column:
+    return F.translate(c, old, new)
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
