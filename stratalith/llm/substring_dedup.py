@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalith.llm.keys import id_key, partitions
+from stratalith.llm.keys import NULL_ID, id_key, partitions
 from stratalith.llm.words import NON_SPACE, U64, Words, buffers, chunks, mix, sequence_hashes, sliding
 
 TOP = U64(2**64 - 1)
@@ -52,15 +52,15 @@ def _members(batch: pa.RecordBatch, column: str, lo: int, hi: int, x: np.ndarray
 
 
 def _counted(keys: np.ndarray, row: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    """One row for each text and hash: h, r (the text's key), c occurrences."""
+    """One row for each text and hash: h, g (the text's key), c occurrences."""
     _, at, n = np.unique(x ^ mix(row.astype(U64), 77), return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([_i64(x[at]), pa.array(keys[row[at]]), pa.array(n.astype(np.int64))], names=["h", "r", "c"])
+    return pa.RecordBatch.from_arrays([_i64(x[at]), pa.array(keys[row[at]]), pa.array(n.astype(np.int64))], names=["h", "g", "c"])
 
 
 def _anchors(window: int, low: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column("_r"))
+            keys = np.asarray(batch.column("_g"))
             for lo, hi, w, h in _scans(batch):
                 full = w.whole(window)
                 if not full.any():
@@ -78,7 +78,7 @@ def _anchors(window: int, low: int):
 def _halves(low: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column("_r"))
+            keys = np.asarray(batch.column("_g"))
             for lo, hi, w, h in _scans(batch):
                 x = np.maximum(sequence_hashes(h, low), U64(1))
                 at = np.flatnonzero(_members(batch, "_low", lo, hi, x, w.row) & w.whole(low))
@@ -101,13 +101,13 @@ def _candidates(batch: pa.RecordBatch, lo: int, hi: int, w: Words, h: np.ndarray
 def _fulls(window: int, low: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = np.asarray(batch.column("_k")), np.asarray(batch.column("_r"))
+            ids, keys = np.asarray(batch.column("_k")), np.asarray(batch.column("_g"))
             for lo, hi, w, h in _scans(batch):
                 s = _candidates(batch, lo, hi, w, h, window, low)
                 if len(s):
                     x, y, row = sequence_hashes(h, window)[s], sequence_hashes(h, window, 1)[s], w.row[s]
                     _, at = np.unique(x ^ mix(row.astype(U64), 77), return_index=True)
-                    yield pa.RecordBatch.from_arrays([_i64(x[at]), _i64(y[at]), pa.array(ids[lo:hi][row[at]]), pa.array(keys[lo:hi][row[at]])], names=["h", "h2", "k", "r"])
+                    yield pa.RecordBatch.from_arrays([_i64(x[at]), _i64(y[at]), pa.array(ids[lo:hi][row[at]]), pa.array(keys[lo:hi][row[at]])], names=["h", "h2", "k", "g"])
 
     return run
 
@@ -169,26 +169,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must be 4 words at least")
     low, n = window // 4, partitions(docs)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), id_key(id_col).alias("_k"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    # texts are told apart by id and digest: rows without an id are many keys, and neither they nor their hashes meet in one place
     digest = F.md5(F.col("_text").cast("binary"))
-    plain = plain.withColumn("_r", F.xxhash64("_k", digest))
+    # rows without an id are keyed by their text: they are many keys, and neither they nor their hashes meet in one place
+    plain = plain.withColumn("_g", F.coalesce("_id", F.xxhash64(digest)))
     # a text that a smaller id has too goes as a whole: it starts no window for the first time
-    marks = plain.select("_k", "_r", digest.alias("_m"))
+    marks = plain.select("_k", "_g", digest.alias("_m"))
     least = marks.groupBy("_m").agg(F.min("_k").alias("_least"))
-    later = marks.join(least, "_m").where("_k > _least").select("_r", F.lit(True).alias("_copy")).distinct()
-    all_ = plain.repartition(n, "_r").join(later, "_r", "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
+    later = marks.join(least, "_m").where("_k > _least").groupBy("_g").agg(F.collect_set("_m").alias("_copies"))
+    all_ = plain.repartition(n, "_g").join(later, "_g", "left").withColumn("_copy", F.coalesce(F.array_contains("_copies", digest), F.lit(False))).drop("_copies")
     base = all_.where(~F.col("_copy"))
 
     def surviving(level: DataFrame, name: str) -> DataFrame:
         again = level.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
-        return level.select("h", "r").join(again, "h", "left_semi").groupBy("r").agg(F.collect_list("h").alias(name)).withColumnRenamed("r", "_r")
-
-    lows = surviving(base.mapInArrow(_anchors(window, low), "h long, r long, c long"), "_low")
-    halves = surviving(base.join(lows, "_r").mapInArrow(_halves(low), "h long, r long, c long"), "_half")
-    fulls = base.join(halves, "_r").mapInArrow(_fulls(window, low), "h long, h2 long, k long, r long")
-    owners = fulls.groupBy("h", "h2").agg(F.min("k").alias("k"))
-    firsts = fulls.join(owners, ["h", "h2", "k"]).groupBy(F.col("r").alias("_r")).agg(F.collect_list("h").alias("_first"))
-    return all_.join(halves, "_r", "left").join(firsts, "_r", "left").mapInArrow(
+        return level.select("h", "g").join(again, "h", "left_semi").groupBy("g").agg(F.collect_list("h").alias(name)).withColumnRenamed("g", "_g")
+
+    lows = surviving(base.mapInArrow(_anchors(window, low), "h long, g long, c long"), "_low")
+    halves = surviving(base.join(lows, "_g").mapInArrow(_halves(low), "h long, g long, c long"), "_half")
+    fulls = lambda rows: rows.join(halves, "_g").mapInArrow(_fulls(window, low), "h long, h2 long, k long, g long")
+    owners = fulls(base).groupBy("h", "h2").agg(F.min("k").alias("k"))
+    # an id owns the windows that no smaller one has; so does every row without an id where no id has them
+    lost = fulls(base.where(F.col("_id").isNull())).join(owners.where(F.col("k") == NULL_ID), ["h", "h2"])
+    owned = owners.where(F.col("k") != NULL_ID).select("h", F.col("k").alias("_g")).unionByName(lost.select("h", F.col("g").alias("_g")))
+    firsts = owned.groupBy("_g").agg(F.collect_list("h").alias("_first"))
+    return all_.join(halves, "_g", "left").join(firsts, "_g", "left").mapInArrow(
         _cut(window, low), "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start: long, end: long>>"
     )
 
