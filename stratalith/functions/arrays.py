@@ -102,3 +102,184 @@ def trapz(y: Column, x: Column | None = None) -> Column:
 def median(a: Column) -> Column:
     s, n = F.array_sort(a), F.size(a)
     return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def build(count: Column | int, f=None, keep=None, low: int = 0) -> Column:
+    """f(i) for i from low on below low + count, of those that `keep` holds for."""
+    n = count if isinstance(count, Column) else F.lit(count)
+    a = F.filter(F.sequence(F.lit(low).cast("long"), n.cast("long") + low), lambda i: i < n + low)
+    a = a if keep is None else F.filter(a, keep)
+    return a if f is None else F.transform(a, f)
+
+
+def uniform(count: Column | int, value) -> Column:
+    return F.array_repeat(value if isinstance(value, Column) else F.lit(value), count)
+
+
+def zip_with(f, *arrays: Column) -> Column:
+    """f over parallel vectors, as long as the shortest."""
+    n = F.least(*map(F.size, arrays)) if len(arrays) > 1 else F.size(arrays[0])
+    zipped = F.arrays_zip(*(F.slice(a, F.lit(1), n).alias(f"_{i}") for i, a in enumerate(arrays)))
+    return F.transform(zipped, lambda t: f(*(t[f"_{i}"] for i in range(len(arrays)))))
+
+
+def split_when(a: Column, p) -> Column:
+    """Chunks that end before each element for which p holds; nothing is dropped."""
+    def step(chunks: Column, x: Column) -> Column:
+        last = F.element_at(chunks, -1)
+        return F.when(p(x) | (F.size(chunks) == 0), F.concat(chunks, F.array(F.array(x)))).otherwise(F.concat(F.slice(chunks, F.lit(1), F.size(chunks) - 1), F.array(F.concat(last, F.array(x)))))
+
+    # elements are of long type: the accumulator's type has to be known beforehand
+    return F.aggregate(F.transform(a, lambda x: x.cast("long")), F.array().cast("array<array<bigint>>"), step)
+
+
+def append(a: Column, v) -> Column:
+    return F.array_append(a, v)
+
+
+def iterate(f, start: Column, n: int) -> Column:
+    """f(f(...f(start))), n times."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda x, _: f(x)) if n else start
+
+
+def for_all(a: Column, p) -> Column:
+    return F.forall(a, p)
+
+
+def exists(a: Column, p) -> Column:
+    return F.exists(a, p)
+
+
+def filter_not(a: Column, p) -> Column:
+    return F.filter(a, lambda x: ~p(x))
+
+
+def star_map(f, tuples: Column, n: int) -> Column:
+    """f over the fields _0, _1, ... of each tuple."""
+    return F.transform(tuples, lambda t: f(*(t[f"_{i}"] for i in range(n))))
+
+
+def zip_apply(functions: list, a: Column) -> Column:
+    """Each function over the element of its place; what is left over on either side is dropped."""
+    return F.filter(F.array(*(F.when(F.size(a) > i, f(F.get(a, i))) for i, f in enumerate(functions))), lambda x: x.isNotNull())
+
+
+def to_string(a: Column, sep: str = "") -> Column:
+    return F.array_join(F.transform(a, lambda x: x.cast("string")), sep)
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 in lexicographic order, a shorter prefix first."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+# ---------------------------------------------------------------- dictionaries
+
+
+def put(m: Column, key: Column, value: Column) -> Column:
+    """With the pair, in place of an older one of its key."""
+    return F.map_concat(remove(m, key), F.create_map(key, value))
+
+
+def remove(m: Column, key: Column) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)
+
+
+def pair_at(m: Column, i: int) -> Column:
+    """The i-th pair in key order."""
+    return F.get(F.array_sort(F.map_entries(m)), i)
+
+
+def keys(m: Column) -> Column:
+    """In order."""
+    return F.array_sort(F.map_keys(m))
+
+
+def values(m: Column) -> Column:
+    """In the order of the keys."""
+    return F.transform(F.array_sort(F.map_entries(m)), lambda e: e["value"])
+
+
+# ---------------------------------------------------------------- tuples: arrays of one type, with fields by position
+
+
+def as_tuple(a: Column, n: int) -> Column:
+    return F.struct(*(F.get(a, i).alias(f"_{i}") for i in range(n)))
+
+
+def join_tuples(a: Column, b: Column, n: int, m: int) -> Column:
+    return F.struct(*(a[f"_{i}"].alias(f"_{i}") for i in range(n)), *(b[f"_{i}"].alias(f"_{n + i}") for i in range(m)))
+
+
+def tuple_slice(t: Column, low: int, high: int) -> Column:
+    return F.struct(*(t[f"_{i}"].alias(f"_{i - low}") for i in range(low, high)))
+
+
+# ---------------------------------------------------------------- arrays of numbers with a shape: row-major values
+
+
+def transpose(a: Column, rows: int, columns: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda k: F.element_at(a, ((k % rows) * columns + F.floor(k / rows) + 1).cast("int")))
+
+
+def reshape(a: Column, rows: int, columns: int) -> Column:
+    """A list of rows; the size has to be right."""
+    rows_ = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.slice(a, r * columns + 1, F.lit(columns)))
+    return F.when(F.size(a) == rows * columns, rows_).otherwise(F.raise_error(F.lit("the size does not fit the shape")))
+
+
+def eye(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.when(k % (n + 1) == 0, 1.0).otherwise(0.0))
+
+
+# ---------------------------------------------------------------- complex numbers: struct(re, im)
+
+
+def complex_(re: Column, im: Column) -> Column:
+    return F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
+
+
+def c_add(a: Column, b: Column) -> Column:
+    return complex_(a["re"] + b["re"], a["im"] + b["im"])
+
+
+def c_mul(a: Column, b: Column) -> Column:
+    return complex_(a["re"] * b["re"] - a["im"] * b["im"], a["re"] * b["im"] + a["im"] * b["re"])
+
+
+def c_div(a: Column, b: Column) -> Column:
+    n = sq_norm(b)
+    p = c_mul(a, conj(b))
+    return complex_(p["re"] / n, p["im"] / n)
+
+
+def sq_norm(a: Column) -> Column:
+    return a["re"] * a["re"] + a["im"] * a["im"]
+
+
+def conj(a: Column) -> Column:
+    return complex_(a["re"], -a["im"])
+
+
+def phase(a: Column) -> Column:
+    return F.atan2(a["im"], a["re"])
+
+
+def polar(a: Column) -> Column:
+    """struct(r, phi)."""
+    return F.struct(F.sqrt(sq_norm(a)).alias("r"), phase(a).alias("phi"))
+
+
+def rect(r: Column, phi: Column) -> Column:
+    return complex_(r * F.cos(phi), r * F.sin(phi))
+
+
+def c_is_nan(a: Column) -> Column:
+    return F.isnan(a["re"]) | F.isnan(a["im"])
+
+
+def c_is_infinite(a: Column) -> Column:
+    return (F.abs(a["re"]) == float("inf")) | (F.abs(a["im"]) == float("inf"))

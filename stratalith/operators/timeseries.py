@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stratalith.plans.session import cut
+
 
 def from_rows(df: DataFrame, by: str, t: str, x: str, check: bool = True) -> DataFrame:
     """series, t (double seconds), x; times have to rise strictly within a series."""
@@ -37,3 +43,31 @@ def pairwise(a: DataFrame, b: DataFrame) -> DataFrame:
     u = u.groupBy("series", "t").agg(F.max("xa").alias("xa"), F.max("xb").alias("xb"))
     w = Window.partitionBy("series").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     return u.select("series", "t", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in ("xa", "xb"))).where("xa is not null and xb is not null")
+
+
+def resampled(ts: DataFrame) -> DataFrame:
+    """The series as values: written out and cut off from how it was made."""
+    return cut(ts)
+
+
+def coiterate(df: DataFrame, by: str, order: str, f: Callable[[Iterator[dict]], Iterator[tuple]], schema: str) -> DataFrame:
+    """f, a generator over the rows of one series in order that keeps state of its own, run for each series.
+
+    A series is read a batch at a time within its partition, so its rows need not
+    fit in memory; f is a new generator for each.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in b.to_dict("records"))
+        out = []
+        for _, one in groupby(rows, key=lambda r: r[by]):
+            for t in f(one):
+                out.append(t)
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(by).sortWithinPartitions(by, order).mapInPandas(run, schema)

@@ -146,14 +146,15 @@ def _(s, d):
 
 
 def sides(s, d):
-    a = table(s, d, "customer").select("c_acctbal", "c_name", F.col("c_nationkey").alias("key")).where("c_custkey % 2 = 0 and c_nationkey < 20")
-    b = table(s, d, "supplier").select("s_name", F.col("s_nationkey").alias("key")).where("s_nationkey > 3 and s_suppkey % 3 = 0")
+    """Whole tables: customers and parts without a partner are unmatched by nature."""
+    a = table(s, d, "customer").select("c_acctbal", "c_name", (F.col("c_custkey") * 3).alias("key"))
+    b = table(s, d, "part").select("p_name", "p_size", F.col("p_partkey").alias("key"))
     return a, b
 
 
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
 
-    @query(f"J1_join_{_how}", f"SELECT c_acctbal AS c_acctbal_l, c_name AS c_name_l, s_name AS s_name_r, key FROM (SELECT c_acctbal, c_name, c_nationkey AS key FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey < 20) {_sql} (SELECT s_name, s_nationkey AS key FROM supplier WHERE s_nationkey > 3 AND s_suppkey % 3 = 0) USING (key)")
+    @query(f"J1_join_{_how}", f"SELECT c_acctbal AS c_acctbal_l, c_name AS c_name_l, p_name AS p_name_r, p_size AS p_size_r, key FROM (SELECT c_acctbal, c_name, c_custkey * 3 AS key FROM customer) {_sql} (SELECT p_name, p_size, p_partkey AS key FROM part) USING (key)")
     def _(s, d, how=_how):
         return joins.join(*sides(s, d), on="key", how=how, left_suffix="_l", right_suffix="_r")
 
@@ -259,7 +260,8 @@ def _(s, d):
 
 @query("A31_quantiles", f"SELECT quantile_cont(l_extendedprice, 0.42) AS q42, median(l_extendedprice) AS med {LI}")
 def _(s, d):
-    return table(s, d, "lineitem").agg(stats.quantile("l_extendedprice", 0.42).alias("q42"), stats.quantile("l_extendedprice", 0.5).alias("med"))
+    q = stats.quantiles(table(s, d, "lineitem"), "l_extendedprice", [0.42, 0.5])
+    return q.agg(F.max(F.when(F.col("p") == 0.42, F.col("q"))).alias("q42"), F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("med"))
 
 
 @query("A34_estimate_five_points")
