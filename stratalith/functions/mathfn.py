@@ -283,3 +283,14 @@ def integral(f: Callable[[Column], Column], upper: Column, lower: Column | float
     h = (upper - lo) / steps
     weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
     return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda s, i: s + weight(i) * f(lo + i * h)) * h / 3
+
+
+def t_quantile(p: float, freedom: float) -> float:
+    """Of Student's distribution: its distribution function is inverted by bisection."""
+    if p < 0.5:
+        return -t_quantile(1 - p, freedom)
+    below = lambda t: 1 - 0.5 * _ibeta(freedom / 2, 0.5, freedom / (freedom + t * t))
+    top = 1.0
+    while below(top) < p:
+        top *= 2
+    return _invert(below, 0.0, top, p)

@@ -43,6 +43,20 @@ def cumsum(df: DataFrame, value: str, *order: Column | str, start=0, name: str =
     return d.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(zero)) + _before(d, F.sum(value), zero) + F.lit(start)).drop("_p", "_r")
 
 
+def cumsums(df: DataFrame, values: list[str], *order: Column | str) -> DataFrame:
+    """df with the running sum of each of the values, as double columns of the name with a leading underscore."""
+    d = _ranged(df, [F.col(c) if isinstance(c, str) else c for c in order])
+    w = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    ends = {r._p: r for r in d.groupBy("_p").agg(*(F.sum(v).cast("double").alias(v) for v in values)).collect()}
+    for v in values:
+        total, at = 0.0, [F.lit(-1), F.lit(0.0)]
+        for p in sorted(ends):
+            at += [F.lit(p), F.lit(total)]
+            total += ends[p][v] or 0.0
+        d = d.withColumn(f"_{v}", F.coalesce(F.sum(v).over(w).cast("double"), F.lit(0.0)) + F.element_at(F.create_map(*at), F.col("_p")))
+    return d.drop("_p", "_r")
+
+
 def rank(df: DataFrame, value: str, ties: str = "average", reverse: bool = False, name: str = "rank") -> DataFrame:
     """Ranks from 1 with ties by average, min or max. Works on distinct values, so ties are no burden."""
     if ties not in ("average", "min", "max"):

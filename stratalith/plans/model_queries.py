@@ -17,11 +17,11 @@ def _(s, d):
     return s.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.coefficients[1]), 4), round(m.r_squared(), 8))], "slope double, intercept double, r2 double")
 
 
-@query("L30_predict")
+@query("L30_predict", "SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 3) AS predicted FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)")
 def _(s, d):
     li = table(s, d, "lineitem")
-    m = ml.LinearRegression(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    return li.select("l_orderkey", "l_linenumber", F.round(m.predict(), 4).alias("predicted"))
+    m = ml.LinearRegression(li, ["l_quantity"], "l_extendedprice")
+    return li.select("l_orderkey", "l_linenumber", F.round(m.predict(), 3).alias("predicted"))
 
 
 @query("L35_logistic_regression")
@@ -39,8 +39,9 @@ def _(s, d):
 
 @query("L45_gradient_boosting")
 def _(s, d):
+    """Five boosts: the operator's default is a hundred, each of them some jobs."""
     p = table(s, d, "part")
-    return p.select("p_partkey", ml.GradientBoosting(p, ["p_partkey", "p_size"], "p_retailprice", boosts=3, max_depth=2).predict().alias("predicted"))
+    return p.select("p_partkey", ml.GradientBoosting(p, ["p_partkey", "p_size"], "p_retailprice", boosts=5).predict().alias("predicted"))
 
 
 @query("L48_target_encoding", "SELECT p_partkey, round(avg(CASE WHEN p_retailprice > 1300 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY p_brand), 8) AS rate FROM part")
@@ -50,7 +51,7 @@ def _(s, d):
 
 @query("L52_kmeans")
 def _(s, d):
-    return ml.kmeans(table(s, d, "embeddings"), "embedding", 4, rounds=10)[1].groupBy("cluster").agg(F.count("*").alias("n"))
+    return ml.kmeans(table(s, d, "embeddings"), "embedding", 4)[1].groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("L53_nearest", """SELECT q.vec_id AS "query", p.vec_id AS neighbour, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.a, p.a), 9), p.vec_id) AS place

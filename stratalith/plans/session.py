@@ -19,10 +19,25 @@ def get_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset: one of our own on a local master, an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = found.get() if found.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="stratalith-")
+        spark.sparkContext.setCheckpointDir(path)
+    # Spark gives the folder back as a URI of its own
+    return path.rstrip("/") if "://" in path else "file:///" + path.removeprefix("file:").lstrip("/").rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the shared folder (a folder of our own only where none is set)."""
+    """A checkpoint of df in the shared folder."""
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stratalith-"))
+    path = shared_dir(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint()
