@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from stratalith.functions.special import FUNCTIONS, ibeta
+
 
 def round_half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
@@ -91,167 +93,19 @@ def combination(n: Column, k: Column) -> Column:
     return F.round(F.aggregate(F.filter(F.sequence(F.lit(0), k), lambda i: i < k), F.lit(1.0), lambda s, i: s * (n - i) / (i + 1)))
 
 
-# ---------------------------------------------------------------- special functions, in double precision
-
-
-def _gamma_p(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma: a series, or what the upper tail leaves."""
-    if x <= 0:
-        return 0.0
-    if x < a + 1:
-        term = total = 1 / a
-        for n in range(1, 10_000):
-            term *= x / (a + n)
-            total += term
-            if abs(term) < abs(total) * 1e-16:
-                break
-        return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
-    return 1 - _gamma_q(a, x)
-
-
-def _gamma_q(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma: in the tail by its own continued fraction (Lentz), so that small values keep their digits."""
-    if x < a + 1:
-        return 1 - _gamma_p(a, x)
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
-
-
-def _ibeta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _ibeta(b, a, 1 - x)
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    h = d
-    for m in range(1, 10_000):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or 1e-300)
-            c = 1 + num / c or 1e-300
-            h *= c * d
-        if abs(c * d - 1) < 1e-16:
-            break
-    return h * math.exp(a * math.log(x) + b * math.log1p(-x) - _lbeta(a, b)) / a
-
-
-def _lbeta(a: float, b: float) -> float:
-    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-
-
-def _invert(f, lo: float, hi: float, y: float) -> float:
-    """Bisection of a rising function."""
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < y else (lo, mid)
-        if lo == hi or hi - lo <= 1e-16 * abs(hi):
-            break
-    return (lo + hi) / 2
-
-
-def _digamma(x: float) -> float:
-    if x <= 0:
-        return math.nan if x == math.floor(x) else _digamma(1 - x) - math.pi / math.tan(math.pi * x)
-    out = 0.0
-    while x < 10:
-        out -= 1 / x
-        x += 1
-    y = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
-
-
-def _top(a: float, y: float) -> float:
-    hi = a + 1
-    while _gamma_p(a, hi) < y:
-        hi *= 2
-    return hi
-
+# ---------------------------------------------------------------- special functions
 
-def _bessel_i(v: float, x: float) -> float:
-    term = total = math.exp(v * math.log(x / 2) - math.lgamma(v + 1)) if x > 0 else float(v == 0)
-    for k in range(1, 2000):
-        term *= (x * x / 4) / (k * (k + v))
-        total += term
-        if term < total * 1e-17:
-            break
-    return total
-
-
-def _bessel_k(v: float, x: float) -> float:
-    """Integral of exp(-x cosh t) cosh(v t), by the trapezoid rule, which converges geometrically."""
-    t = np.linspace(0, math.acosh(1 + 745 / x) if x > 0 else 0, 4001)
-    y = np.exp(-x * np.cosh(t)) * np.cosh(v * t)
-    return float((y.sum() - (y[0] + y[-1]) / 2) * (t[1] - t[0]))
-
-
-SPECIAL = {
-    "erf": math.erf,
-    "erfc": math.erfc,
-    "erfinv": lambda y: math.copysign(_invert(math.erf, 0.0, 6.0, abs(y)), y),
-    "erfcinv": lambda y: _invert(lambda x: -math.erfc(x), -6.0, 27.0, -y),
-    "tgamma": math.gamma,
-    "lgamma": math.lgamma,
-    "digamma": _digamma,
-    "tgamma_ratio": lambda a, b: math.exp(math.lgamma(a) - math.lgamma(b)),
-    "gamma_p": _gamma_p,
-    "gamma_q": _gamma_q,
-    "gamma_p_inv": lambda a, y: _invert(lambda x: _gamma_p(a, x), 0.0, _top(a, y), y),
-    "gamma_q_inv": lambda a, y: _invert(lambda x: _gamma_p(a, x), 0.0, _top(a, 1 - y), 1 - y),
-    "gamma_p_inva": lambda x, y: _invert(lambda a: -_gamma_p(a, x), 1e-9, 10 * x + 100, -y),
-    "gamma_q_inva": lambda x, y: _invert(lambda a: _gamma_q(a, x), 1e-9, 10 * x + 100, y),
-    "gamma_p_derivative": lambda a, x: math.exp(-x + (a - 1) * math.log(x) - math.lgamma(a)),
-    "tgamma_lower": lambda a, x: _gamma_p(a, x) * math.gamma(a),
-    "beta": lambda a, b: math.exp(_lbeta(a, b)),
-    "beta_ln": _lbeta,
-    "betac": lambda a, b, x: _ibeta(b, a, 1 - x) * math.exp(_lbeta(a, b)),
-    "ibeta": _ibeta,
-    "ibetac": lambda a, b, x: _ibeta(b, a, 1 - x),
-    "ibeta_inv": lambda a, b, y: _invert(lambda x: _ibeta(a, b, x), 0.0, 1.0, y),
-    "ibetac_inv": lambda a, b, y: _invert(lambda x: _ibeta(a, b, x), 0.0, 1.0, 1 - y),
-    "ibeta_inva": lambda b, x, y: _invert(lambda a: -_ibeta(a, b, x), 1e-9, 1e6, -y),
-    "ibetac_inva": lambda b, x, y: _invert(lambda a: 1 - _ibeta(a, b, x), 1e-9, 1e6, y),
-    "ibeta_invb": lambda a, x, y: _invert(lambda b: _ibeta(a, b, x), 1e-9, 1e6, y),
-    "ibetac_invb": lambda a, x, y: _invert(lambda b: _ibeta(a, b, x), 1e-9, 1e6, 1 - y),
-    "ibeta_derivative": lambda a, b, x: math.exp((a - 1) * math.log(x) + (b - 1) * math.log1p(-x) - _lbeta(a, b)),
-    "bessel_i": _bessel_i,
-    "bessel_k": _bessel_k,
-    "hyp2f1": lambda a, b, c, x: _hyp2f1(a, b, c, x),
-    "fmod": math.fmod,
-}
-
-
-def _hyp2f1(a: float, b: float, c: float, x: float) -> float:
-    term = total = 1.0
-    for n in range(100_000):
-        term *= (a + n) * (b + n) / ((c + n) * (n + 1)) * x
-        total += term
-        if abs(term) <= abs(total) * 1e-17:
-            break
-    return total
+SPECIAL = FUNCTIONS
 
 
 def special(name: str, *columns: Column) -> Column:
-    """A function of SPECIAL over columns, a batch at a time; null where an argument is null or outside the domain."""
+    """A function of SPECIAL over columns, an Arrow batch at a time; null where an argument is null or outside the domain."""
     f = SPECIAL[name]
 
-    def one(*x: float) -> float | None:
-        try:
-            return None if any(pd.isna(v) for v in x) else f(*map(float, x))
-        except (ValueError, OverflowError, ZeroDivisionError):
-            return None
-
     @F.pandas_udf("double")
     def run(table: pd.DataFrame) -> pd.Series:
-        return pd.Series([one(*r) for r in table.itertuples(index=False)], dtype="float64")
+        out = f(*(table[c].to_numpy(float) for c in table)) if len(table) else np.zeros(0)
+        return pd.Series(np.where(table.isna().any(axis=1), np.nan, out)).where(lambda x: x.notna(), None).astype("Float64")
 
     return run(F.struct(*(c.cast("double").alias(f"a{i}") for i, c in enumerate(columns))))
 
@@ -289,8 +143,11 @@ def t_quantile(p: float, freedom: float) -> float:
     """Of Student's distribution: its distribution function is inverted by bisection."""
     if p < 0.5:
         return -t_quantile(1 - p, freedom)
-    below = lambda t: 1 - 0.5 * _ibeta(freedom / 2, 0.5, freedom / (freedom + t * t))
+    below = lambda t: 1 - 0.5 * float(ibeta(freedom / 2, 0.5, freedom / (freedom + t * t)))
     top = 1.0
     while below(top) < p:
         top *= 2
-    return _invert(below, 0.0, top, p)
+    lo, hi = 0.0, top
+    for _ in range(100):
+        lo, hi = ((lo + hi) / 2, hi) if below((lo + hi) / 2) < p else (lo, (lo + hi) / 2)
+    return hi

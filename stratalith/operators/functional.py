@@ -109,3 +109,40 @@ def evaluate(spark: SparkSession, source: str, **tables: DataFrame) -> DataFrame
 def compile_only(df: DataFrame) -> str:
     """The physical plan, without running anything."""
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def inline(spark: SparkSession, name: str, parameters: str, kind: str, body: str) -> Callable[..., Column]:
+    """A function from SQL source, compiled into the plan with what calls it: inline(s, "f", "x double, y int", "double", "x * y + 1")."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+    return lambda *columns: F.call_function(name, *columns)
+
+
+#: Python types and how their values become columns.
+MAPPINGS: dict[type, Callable[[object], Column]] = {}
+
+
+def mapping(kind: type, f: Callable[[object], Column]) -> None:
+    """Values of a type (and of its subtypes) stand for f(value) in lower()."""
+    MAPPINGS[kind] = f
+
+
+def lower(value: object) -> Column:
+    """A value as a column: by the mapping of its nearest type, sequences and dictionaries by their parts, others as literals."""
+    for t in type(value).__mro__:
+        if t in MAPPINGS:
+            return MAPPINGS[t](value)
+    if isinstance(value, (list, tuple)):
+        return F.array(*map(lower, value))
+    if isinstance(value, dict):
+        return F.create_map(*(x for k, v in value.items() for x in (lower(k), lower(v))))
+    return F.lit(value)
+
+
+def local(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys side by side in one task each, so that what follows by those keys moves nothing."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def paged(df: DataFrame, rows: int) -> DataFrame:
+    """In partitions of about `rows` rows."""
+    return df.repartition(max(1, -(-df.count() // rows)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stratalith.operators.order import ranged
+
 HOWS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
@@ -32,8 +34,18 @@ def as_of(samples: DataFrame, times: DataFrame, t: str, value: str, by: list[str
     by = by or []
     a = samples.select(*by, F.col(t).alias("_t"), F.col(value).alias("_x"), F.lit(0).alias("_q"))
     b = times.select(*by, F.col(at).alias("_t"), F.lit(None).cast(samples.schema[value].dataType).alias("_x"), F.lit(1).alias("_q"))
-    w = Window.partitionBy(*by).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    u = a.unionByName(b).withColumn("_x", F.last("_x", ignorenulls=True).over(w))
+    u = a.unionByName(b)
+    if by:
+        w = Window.partitionBy(*by).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
+        u = u.withColumn("_x", F.last("_x", ignorenulls=True).over(w))
+    else:  # one order for all: by ranges of time, with the value that holds at each range's beginning
+        u = ranged(u, [F.col("_t"), F.col("_q")])
+        ends = sorted(u.where("_x is not null").groupBy("_p").agg(F.max(F.struct("_r", "_x"))["_x"].alias("x")).collect(), key=lambda r: r._p)
+        carry = [F.lit(None).cast(samples.schema[value].dataType)]
+        for r in reversed(ends):
+            carry.append(F.when(F.col("_p") > r._p, F.lit(r.x)))
+        w = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+        u = u.withColumn("_x", F.coalesce(F.last("_x", ignorenulls=True).over(w), *carry[1:], carry[0]))
     return u.where("_q = 1").select(*by, F.col("_t").alias(at), F.col("_x").alias(value))
 
 

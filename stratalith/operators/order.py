@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stratalith.plans.session import cut
 
 
-def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df range partitioned and sorted, cut off, with the partition's number _p and a rising row number _r."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.monotonically_increasing_id()))
 
@@ -28,7 +29,7 @@ def _before(df: DataFrame, what: Column, zero) -> Column:
 def with_index(df: DataFrame, *order: Column | str, name: str = "ix") -> DataFrame:
     """df with the position of each row (from 0) in the given order, which has to be total."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    d = _ranged(df, order)
+    d = ranged(df, order)
     w = Window.partitionBy("_p").orderBy("_r")
     return d.withColumn(name, F.row_number().over(w) - 1 + _before(d, F.count("*"), 0)).drop("_p", "_r")
 
@@ -36,7 +37,7 @@ def with_index(df: DataFrame, *order: Column | str, name: str = "ix") -> DataFra
 def cumsum(df: DataFrame, value: str, *order: Column | str, start=0, name: str = "cumsum") -> DataFrame:
     """df with the running sum of `value` in the given order, from `start`; nulls add nothing."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    d = _ranged(df, order)
+    d = ranged(df, order)
     kind = df.schema[value].dataType.typeName()
     zero = 0.0 if kind in ("double", "float") else 0
     w = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +46,7 @@ def cumsum(df: DataFrame, value: str, *order: Column | str, start=0, name: str =
 
 def cumsums(df: DataFrame, values: list[str], *order: Column | str) -> DataFrame:
     """df with the running sum of each of the values, as double columns of the name with a leading underscore."""
-    d = _ranged(df, [F.col(c) if isinstance(c, str) else c for c in order])
+    d = ranged(df, [F.col(c) if isinstance(c, str) else c for c in order])
     w = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
     ends = {r._p: r for r in d.groupBy("_p").agg(*(F.sum(v).cast("double").alias(v) for v in values)).collect()}
     for v in values:

@@ -8,13 +8,13 @@ from stratalith.functions import arrays as Y, types as K
 from stratalith.plans.catalog import query, table
 from stratalith.plans.scalar_members import BASES, lit, member
 
-r6 = lambda a: F.transform(a, lambda v: F.round(v, 6))
+r6 = lambda a: F.transform(a, lambda v: F.round(v, 6) + 0.0)
 BASES |= {
     "ints": ("part", "p_partkey", "range(1, p_size % 9 + 3)", lambda: F.sequence(lit(1).cast("long"), (F.col("p_size") % 9 + 2).cast("long"))),
     "count": ("part", "p_partkey", "p_size::BIGINT", lambda: F.col("p_size").cast("long")),
     "props": ("events", "event_id", "(props->>'k')::BIGINT", lambda: F.from_json("props", "struct<k: bigint>")["k"]),
     "point": ("customer", "c_custkey", "c_acctbal / 1000", lambda: F.col("c_acctbal") / 1000),
-    "eight": ("embeddings", "vec_id", "list_transform(embedding[1:12], lambda z: round(z::DOUBLE, 3))", lambda: F.transform(F.slice("embedding", 1, 12), lambda v: F.round(v.cast("double"), 3))),
+    "eight": ("embeddings", "vec_id", "list_transform(embedding[1:12], lambda z: round(z::DOUBLE, 3) + 0.0)", lambda: F.transform(F.slice("embedding", 1, 12), lambda v: F.round(v.cast("double"), 3) + 0.0)),
 }
 MAP, MAP_SQL = (lambda k: F.create_map(lit("k"), k, lit("a"), k + 1, lit("z"), k * 2)), "MAP {'a': {x} + 1, 'k': {x}, 'z': {x} * 2}"
 odd = lambda x: x % 2 == 1
@@ -60,8 +60,8 @@ for _id, _name, _base, _sql, _f in (
     ("Y74", "len", "ints", "len({x})::INTEGER", F.size), ("Y75", "range", "count", "range(0, {x}, 5)", lambda n: F.filter(F.sequence(lit(0).cast("long"), n, lit(5).cast("long")), lambda i: i < n)), ("Y77", "map", "ints", "list_transform({x}, lambda z: z * z)", lambda a: F.transform(a, lambda x: x * x)), ("Y78", "all", "ints", "len({x}) < 7", lambda a: F.forall(a, lambda x: x < 7)), ("Y79", "any", "ints", "len({x}) > 6", lambda a: F.exists(a, lambda x: x > 6)), ("Y80", "min", "ints", "list_min({x})", F.array_min),
     # arrays of numbers
     ("Y81", "transpose", "eight", "list_transform(range(0, 12), lambda k: {x}[(k % 3) * 4 + k // 3 + 1])", lambda a: Y.transpose(a, 3, 4)), ("Y82", "flatten", "eight", "{x}", lambda a: F.flatten(Y.reshape(a, 3, 4))), ("Y83", "tolist", "eight", "[{x}[1:6], {x}[7:12]]", lambda a: Y.reshape(a, 2, 6)), ("Y84", "reshape", "eight", "[{x}[1:4], {x}[5:8], {x}[9:12]]", lambda a: Y.reshape(a, 3, 4)), ("Y86", "getitem", "eight", "{x}[6]", lambda a: Y.get(Y.get(Y.reshape(a, 3, 4), 1), 1)),
-    ("Y87", "add", "eight", "list_transform({x}, lambda z: round(z + 2, 6))", lambda a: r6(Y.zip_with(lambda x, y: x + y, a, Y.uniform(12, 2.0)))), ("Y88", "sub", "eight", "list_transform({x}, lambda z: round(z - 2, 6))", lambda a: r6(Y.zip_with(lambda x, y: x - y, a, Y.uniform(12, 2.0)))), ("Y89", "mul", "eight", "list_transform({x}, lambda z: round(z * z, 6))", lambda a: r6(Y.zip_with(lambda x, y: x * y, a, a))), ("Y90", "div", "eight", "list_transform({x}, lambda z: round(z / 3, 6))", lambda a: r6(Y.zip_with(lambda x, y: x / y, a, Y.uniform(12, 3.0)))),
-    ("Y91", "pow", "eight", "list_transform({x}, lambda z: round(pow(z, 2), 6))", lambda a: r6(F.transform(a, lambda x: F.pow(x, lit(2.0))))), ("Y92", "neg", "eight", "list_transform({x}, lambda z: -z)", lambda a: F.transform(a, lambda x: -x)), ("Y93", "eq", "eight", "list_transform({x}, lambda z: z = {x}[1])", lambda a: F.transform(a, lambda x: x == Y.get(a, 0))), ("Y94", "eye", "count", "[1.0::DOUBLE, 0, 0, 0, 1, 0, 0, 0, 1]", lambda n: Y.eye(3)), ("Y95", "zeros", "count", "list_transform(range(0, {x}), lambda i: 0.0::DOUBLE)", lambda n: Y.uniform(n.cast("int"), 0.0)),
+    ("Y87", "add", "eight", "list_transform({x}, lambda z: round(z + 2, 6) + 0.0)", lambda a: r6(Y.zip_with(lambda x, y: x + y, a, Y.uniform(12, 2.0)))), ("Y88", "sub", "eight", "list_transform({x}, lambda z: round(z - 2, 6) + 0.0)", lambda a: r6(Y.zip_with(lambda x, y: x - y, a, Y.uniform(12, 2.0)))), ("Y89", "mul", "eight", "list_transform({x}, lambda z: round(z * z, 6) + 0.0)", lambda a: r6(Y.zip_with(lambda x, y: x * y, a, a))), ("Y90", "div", "eight", "list_transform({x}, lambda z: round(z / 3, 6) + 0.0)", lambda a: r6(Y.zip_with(lambda x, y: x / y, a, Y.uniform(12, 3.0)))),
+    ("Y91", "pow", "eight", "list_transform({x}, lambda z: round(pow(z, 2), 6) + 0.0)", lambda a: r6(F.transform(a, lambda x: F.pow(x, lit(2.0))))), ("Y92", "neg", "eight", "list_transform({x}, lambda z: -z)", lambda a: F.transform(a, lambda x: -x)), ("Y93", "eq", "eight", "list_transform({x}, lambda z: z = {x}[1])", lambda a: F.transform(a, lambda x: x == Y.get(a, 0))), ("Y94", "eye", "count", "[1.0::DOUBLE, 0, 0, 0, 1, 0, 0, 0, 1]", lambda n: Y.eye(3)), ("Y95", "zeros", "count", "list_transform(range(0, {x}), lambda i: 0.0::DOUBLE)", lambda n: Y.uniform(n.cast("int"), 0.0)),
     ("Y96", "array", "point", "[{x}, {x} * 2]", lambda x: F.array(x, x * 2)), ("Y97", "arange", "count", "range(0, {x}, 3)", lambda n: F.filter(F.sequence(lit(0).cast("long"), n, lit(3).cast("long")), lambda i: i < n)),
     ("Y99", "json", "props", "('{\"k\":' || {x} || '}')", lambda k: F.to_json(F.struct(k.alias("k")))),
     # complex numbers

@@ -217,6 +217,10 @@ add("V10_compile", "SELECT true AS scans", lambda s, d: one(s, scans="Scan parqu
 add("V11_out_of_process", "SELECT count(*) AS n, true AS elsewhere FROM region", lambda s, d: table(s, d, "region").select("r_regionkey").mapInPandas(_whose, "pid long").agg(F.count("*").alias("n"), F.bool_and(F.col("pid") > 0).alias("elsewhere")))
 add("V12_map_over_list", "SELECT i, i * i AS y FROM (SELECT range AS i FROM range(20))", lambda s, d: s.range(20).select(F.col("id").alias("i"), (F.col("id") * F.col("id")).alias("y")))
 add("V15_eval", "SELECT p_size, count(*) AS n FROM part GROUP BY 1", lambda s, d: functional.evaluate(s, "SELECT p_size, count(*) AS n FROM {p} GROUP BY p_size", p=parts(s, d)))
+add("V13_inline_function", "SELECT p_partkey, p_size * 2 + p_retailprice AS y FROM part", lambda s, d: parts(s, d).select("p_partkey", functional.inline(s, "twice_and", "x int, y double", "double", "x * 2 + y")("p_size", "p_retailprice").alias("y")))
+add("V14_type_mapping", "SELECT n_nationkey, [1.5::DOUBLE, 2.5] AS y FROM nation", lambda s, d: (functional.mapping(np.ndarray, lambda v: functional.lower(v.tolist())), table(s, d, "nation").select("n_nationkey", functional.lower(np.array([1.5, 2.5])).alias("y")))[1])
+add("V16_locality", "SELECT p_size, count(*) AS n FROM part GROUP BY 1", lambda s, d: functional.local(parts(s, d), "p_size").groupBy("p_size").agg(F.count("*").alias("n")))
+add("Z15_paged", "SELECT ceil(count(*) / 100.0)::BIGINT AS pages, count(*) AS n FROM part", lambda s, d: functional.paged(parts(s, d), 100).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).agg(F.count("*").alias("pages"), F.sum("c").alias("n")))
 
 
 def _widen(a, b):

@@ -184,6 +184,12 @@ def _(s, d):
     return joins.as_of(ts, e.select("user_id").distinct().select("user_id", at.alias("at")), "ts", "value", ["user_id"])
 
 
+@query("J17_as_of_all", "SELECT q.at, e.value FROM (SELECT DISTINCT o_orderdate AS at FROM orders) q ASOF LEFT JOIN (SELECT l_shipdate AS t, max(l_extendedprice) AS value FROM lineitem GROUP BY 1) e ON q.at >= e.t")
+def _(s, d):
+    ts = table(s, d, "lineitem").groupBy(F.col("l_shipdate").alias("t")).agg(F.max("l_extendedprice").alias("value"))
+    return joins.as_of(ts, table(s, d, "orders").select(F.col("o_orderdate").alias("at")).distinct(), "t", "value")
+
+
 @query("J18_nested_comprehension", "SELECT n_nationkey, i FROM nation, range(0, 5) t(i) WHERE i <= n_nationkey % 5")
 def _(s, d):
     return table(s, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_nationkey") % 5).cast("long"))).alias("i"))

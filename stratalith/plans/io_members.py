@@ -6,6 +6,7 @@ import math
 import os
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -98,6 +99,15 @@ def served(s, d):
     return one(s, n=n)
 
 
+def database(s, d):
+    """nation in a database of this process, by JDBC."""
+    url = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
+    nation(s, d).coalesce(1).write.jdbc(url, "nation", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    return C.load(s, C.Source("sql", (url, "SELECT * FROM nation WHERE \"n_regionkey\" > 1")), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+
+
+add("S3_odbc", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey > 1", database)
+add("S9_odbc_request", "SELECT n_name FROM nation WHERE n_regionkey > 1", lambda s, d: database(s, d).select("n_name"))
 add("S2_http", BYTES, served)
 add("S8_http_request", BYTES, served)
 # ------------------------------------------------------------------------------ sinks

@@ -64,11 +64,11 @@ query("L136_summary", _SUMMARY)(lambda s, d: _texts(fit(s, d).summary(s), estima
 query("L33_summary_table", _SUMMARY)(lambda s, d: _texts(fit(s, d).summary(s), estimate="%.5e", std_error="%.5e", t="%.4e"))
 query("L137_anova", _ANOVA)(_anova)
 query("L138_format_summary", f"SELECT 4 AS lines, printf('R squared %.6g', 1 - rss / tss) AS r2 FROM ({FIT})")(lambda s, d: (lambda t: s.createDataFrame([(len(t), t[-1].split(",")[0])], "lines int, r2 string"))(str(fit(s, d)).split("\n")))
-_ROWS = f"SELECT l_orderkey, l_linenumber, round({{}}, 3) AS y FROM lineitem, ({FIT})"
+_ROWS = f"SELECT l_orderkey, l_linenumber, round({{}}, 3) + 0.0 AS y FROM lineitem, ({FIT})"
 for _id, _name, _sql, _f in (
     ("L118", "residuals", "l_extendedprice - (a + b * l_quantity)", lambda m: m.residual()), ("L119", "compute_residuals", "l_extendedprice - (a + b * l_quantity)", lambda m: m.residual()), ("L120", "fitted", "a + b * l_quantity", lambda m: m.predict()), ("L139", "predict", "a + b * l_quantity", lambda m: m.predict()),
 ):
-    query(f"{_id}_{_name}", _ROWS.format(_sql))(lambda s, d, f=_f: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(f(fit(s, d)), 3).alias("y")))
+    query(f"{_id}_{_name}", _ROWS.format(_sql))(lambda s, d, f=_f: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.round(f(fit(s, d)), 3) + 0.0).alias("y")))
 _RESIDUALS = f"(SELECT l_extendedprice - (a + b * l_quantity) AS e FROM lineitem, ({FIT}))"
 query("L111_residual_quantiles", f"SELECT unnest([0, 0.25, 0.5, 0.75, 1])::DOUBLE AS p, unnest(list_transform(quantile_cont(e, [0, 0.25, 0.5, 0.75, 1]), lambda v: printf('%.4e', v))) AS q FROM {_RESIDUALS}")(lambda s, d: fit(s, d).residual_quantiles(table(s, d, "lineitem")).select("p", F.format_string("%.4e", "q").alias("q")))
 query("L141_residual_range", f"SELECT printf('%.5e', min(e)) AS lo, printf('%.5e', max(e)) AS hi FROM {_RESIDUALS}")(lambda s, d: s.createDataFrame([tuple(map(sig, fit(s, d).residual_range(table(s, d, "lineitem"))))], "lo string, hi string"))

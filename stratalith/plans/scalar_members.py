@@ -34,16 +34,16 @@ BASES = {
 
 
 def member(name: str, base: str, sql: str, f, digits: int | None = None) -> None:
-    """Register f over the base's column, beside the base's key; doubles rounded to `digits`."""
+    """Register f over the base's column, beside the base's key; doubles rounded to `digits` (and no negative zero)."""
     source, keys, x_sql, x = BASES[base]
     y_sql = sql.replace("{x}", "x")
-    y_sql = y_sql if digits is None else f"round(({y_sql})::DOUBLE, {digits})"
+    y_sql = y_sql if digits is None else f"round(({y_sql})::DOUBLE, {digits}) + 0.0"
 
     @query(name, f"SELECT {keys}, {y_sql} AS y FROM (SELECT *, {x_sql} AS x FROM {source})")
     def _(s, d):
         y = f(F.col("x"))
         keyed = table(s, d, source).select(*keys.split(", "), x().alias("x"))
-        return keyed.select(*keys.split(", "), (y if digits is None else F.round(y.cast("double"), digits)).alias("y"))
+        return keyed.select(*keys.split(", "), (y if digits is None else F.round(y.cast("double"), digits) + 0.0).alias("y"))
 
 
 lit = F.lit
@@ -254,8 +254,8 @@ for _id, _name, _sql, _f in (
 
 
 def _rounded(a: Column) -> Column:
-    return F.transform(a, lambda v: F.round(v, 6))
+    return F.transform(a, lambda v: F.round(v, 6) + 0.0)
 
 
-member("M21_vectors", "vector", "list_transform(list_zip({x}, list_reverse({x})), lambda z: round(atan2(z[1], z[2]), 6))", lambda a: _rounded(F.zip_with(a, F.reverse(a), F.atan2)))
+member("M21_vectors", "vector", "list_transform(list_zip({x}, list_reverse({x})), lambda z: round(atan2(z[1], z[2]), 6) + 0.0)", lambda a: _rounded(F.zip_with(a, F.reverse(a), F.atan2)))
 member("M22_tuples", "unit", "[round(sin({x}), 6), round(sin({x} + 1), 6)]", lambda x: _rounded(F.array(F.sin(x), F.sin(x + 1))))
