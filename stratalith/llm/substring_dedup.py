@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalith.llm.keys import NULL_ID, id_key, partitions
+from stratalith.llm.keys import NULL_ID, ensure_checkpoint_dir, id_key, partitions
 from stratalith.llm.words import NON_SPACE, U64, Words, buffers, chunks, mix, sequence_hashes, sliding
 
 TOP = U64(2**64 - 1)
@@ -150,6 +150,31 @@ def _cut(window: int, low: int):
     return run
 
 
+def _survivors(level: DataFrame, name: str) -> DataFrame:
+    """_g and the text's hashes that occur more than once in the corpus."""
+    again = level.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
+    return level.select("h", "g").join(again, "h", "left_semi").groupBy("g").agg(F.collect_list("h").alias(name)).withColumnRenamed("g", "_g")
+
+
+def _nominated(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame, int]:
+    """All texts (with _copy: a copy of one of smaller id), the half windows that survive, and the lowest length."""
+    low, n = window // 4, partitions(docs)
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), id_key(id_col).alias("_k"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    digest = F.md5(F.col("_text").cast("binary"))
+    # rows without an id are keyed by their text: they are many keys, and neither they nor their hashes meet in one place
+    plain = plain.withColumn("_g", F.coalesce("_id", F.xxhash64(digest)))
+    # a text that a smaller id has too goes as a whole: it starts no window for the first time
+    marks = plain.select("_k", "_g", digest.alias("_m"))
+    least = marks.groupBy("_m").agg(F.min("_k").alias("_least"))
+    later = marks.join(least, "_m").where("_k > _least").groupBy("_g").agg(F.collect_set("_m").alias("_copies"))
+    all_ = plain.repartition(n, "_g").join(later, "_g", "left").withColumn("_copy", F.coalesce(F.array_contains("_copies", digest), F.lit(False))).drop("_copies")
+    base = all_.where(~F.col("_copy"))
+
+    lows = _survivors(base.mapInArrow(_anchors(window, low), "h long, g long, c long"), "_low")
+    halves = _survivors(base.join(lows, "_g").mapInArrow(_halves(low), "h long, g long, c long"), "_half")
+    return all_, halves, low
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """Remove every word in a window of `window` words that also starts earlier.
 
@@ -167,24 +192,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < 4:
         raise ValueError("window must be 4 words at least")
-    low, n = window // 4, partitions(docs)
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), id_key(id_col).alias("_k"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    digest = F.md5(F.col("_text").cast("binary"))
-    # rows without an id are keyed by their text: they are many keys, and neither they nor their hashes meet in one place
-    plain = plain.withColumn("_g", F.coalesce("_id", F.xxhash64(digest)))
-    # a text that a smaller id has too goes as a whole: it starts no window for the first time
-    marks = plain.select("_k", "_g", digest.alias("_m"))
-    least = marks.groupBy("_m").agg(F.min("_k").alias("_least"))
-    later = marks.join(least, "_m").where("_k > _least").groupBy("_g").agg(F.collect_set("_m").alias("_copies"))
-    all_ = plain.repartition(n, "_g").join(later, "_g", "left").withColumn("_copy", F.coalesce(F.array_contains("_copies", digest), F.lit(False))).drop("_copies")
+    low = window // 4
+    all_, halves, _ = _nominated(docs, id_col, text_col, window)
     base = all_.where(~F.col("_copy"))
-
-    def surviving(level: DataFrame, name: str) -> DataFrame:
-        again = level.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
-        return level.select("h", "g").join(again, "h", "left_semi").groupBy("g").agg(F.collect_list("h").alias(name)).withColumnRenamed("g", "_g")
-
-    lows = surviving(base.mapInArrow(_anchors(window, low), "h long, g long, c long"), "_low")
-    halves = surviving(base.join(lows, "_g").mapInArrow(_halves(low), "h long, g long, c long"), "_half")
     fulls = lambda rows: rows.join(halves, "_g").mapInArrow(_fulls(window, low), "h long, h2 long, k long, g long")
     owners = fulls(base).groupBy("h", "h2").agg(F.min("k").alias("k"))
     # an id owns the windows that no smaller one has; so does every row without an id where no id has them
@@ -196,6 +206,62 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _extend(length: int):
+    """Windows of twice the length whose halves both survive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column("_g"))
+            for lo, hi, w, h in _scans(batch):
+                at = _members(batch, "_at", lo, hi, sequence_hashes(h, length), w.row) & w.whole(length)
+                both = at.copy()
+                both[: max(0, len(at) - length)] &= at[length:]
+                both[max(0, len(at) - length) :] = False
+                s = np.flatnonzero(both & w.whole(2 * length))
+                if len(s):
+                    yield _counted(keys[lo:hi], w.row[s], sequence_hashes(h, 2 * length)[s])
+
+    return run
+
+
+def _at_window(window: int, low: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column("_g"))
+            for lo, hi, w, h in _scans(batch):
+                s = _candidates(batch, lo, hi, w, h, window, low)
+                if len(s):
+                    yield _counted(keys[lo:hi], w.row[s], sequence_hashes(h, window)[s])
+
+    return run
+
+
+def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+    """How long the repeats of each text are: doubling goes on until no window survives.
+
+    Returns doc_id and repeated (long): the largest of window, 2 window, 4 window
+    ... words such that the text holds a sequence of so many words that occurs
+    again, in it or in another text that is no copy of one of smaller id; 0 where
+    there is none. A row for each input row. Copies of a text with a smaller id
+    take no part and have -1. Null text counts as empty, a null id as in
+    remove_repeats(); an empty table gives an empty result. A round a doubling,
+    each cut off by a checkpoint; the driver sees whether it is empty.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    all_, halves, low = _nominated(docs, id_col, text_col, window)
+    base, length, found = all_.where(~F.col("_copy")), window, None
+    now = _survivors(base.join(halves, "_g").mapInArrow(_at_window(window, low), "h long, g long, c long"), "_at").checkpoint()
+    while not now.isEmpty():
+        marks = now.select("_g", F.lit(length).cast("long").alias("n"))
+        found = marks if found is None else found.unionByName(marks)
+        now = _survivors(base.join(now, "_g").mapInArrow(_extend(length), "h long, g long, c long"), "_at").checkpoint()
+        length *= 2
+    if found is None:
+        return all_.select(F.col("_id").alias("doc_id"), F.when(F.col("_copy"), -1).otherwise(0).cast("long").alias("repeated"))
+    top = found.groupBy("_g").agg(F.max("n").alias("n"))
+    return all_.join(top, "_g", "left").select(F.col("_id").alias("doc_id"), F.when(F.col("_copy"), -1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("repeated"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from stratalith.llm.substring_dedup import remove_repeats
+from stratalith.llm.substring_dedup import longest_repeats, remove_repeats
 
 
 def brute(rows, window):
@@ -53,3 +53,14 @@ def test_many_rows_without_an_id(spark):
     rows += [(None, rows[3][1]), (None, rows[4][1]), (None, rows[4][1]), (3, rows[6][1]), (None, None)]
     key = lambda r: (str(r[0]), r)
     assert sorted(run(spark, rows, 20), key=key) == sorted(brute(rows, 20), key=key)
+
+
+def test_doubling_goes_on_until_nothing_survives(spark):
+    rnd = random.Random(4)
+    fresh = lambda n: [f"{rnd.random():.9f}" for _ in range(n)]
+    a, b, c = fresh(170), fresh(25), fresh(85)
+    rows = [(0, fresh(30) + a + fresh(5)), (1, a + fresh(50)), (2, fresh(3) + b), (3, b + fresh(40)), (4, fresh(300)), (5, c + c), (6, fresh(19)), (None, a[:45] + fresh(9)), (8, None), (9, fresh(10))]
+    rows.append((10, rows[4][1]))
+    got = {r.doc_id: r.repeated for r in longest_repeats(spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    assert got == {0: 160, 1: 160, 2: 20, 3: 20, 4: 0, 5: 80, 6: 0, None: 40, 8: 0, 9: 0, 10: -1}
+    assert longest_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
