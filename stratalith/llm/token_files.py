@@ -169,7 +169,8 @@ class Encoder:
 
     Texts are cut where that changes nothing (piece_starts); the library encodes
     every distinct piece, and what a text gives is the library's ids of its
-    pieces in order. Pieces are told apart by 128 bits of hash. At most CACHE
+    pieces in order. That holds for the plain byte-level pre-tokenizer without a
+    normaliser; with any other, whole texts are encoded. Pieces are told apart by 128 bits of hash. At most CACHE
     pieces are kept; others are encoded for each chunk.
     """
 
@@ -178,6 +179,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        self.cuts = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.slots: dict[int, int] = {}
         self.check, self.size = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -197,6 +201,8 @@ class Encoder:
         rows = len(offsets) - 1
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
+        if not self.cuts:
+            return self._library([raw[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
         start = piece_starts(raw, offsets, self.special)
         end = np.append(start[1:], len(raw))
         one, two = (byte_range_hashes(raw, start, end, lane) for lane in (0, 1))

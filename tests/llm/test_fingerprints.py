@@ -59,3 +59,13 @@ def test_every_pair_within_the_radius(spark):
     df = spark.createDataFrame([([signed(x & (2**64 - 1)), signed(x >> 64)],) for x in some], "fp array<long>")
     got = {(r.fp[0] % 2**64) | (r.fp[1] % 2**64) << 64: r.n_near for r in P.near_links(df, 3).collect()}
     assert got == {x: sum(0 < (x ^ y).bit_count() <= 3 for y in some) for x in some}
+
+
+def test_many_rows_without_an_id(spark):
+    rnd = random.Random(6)
+    rows = [(None if i % 3 == 0 else i, " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 20)))) for i in range(90)]
+    got = P.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 90 and sum(r.doc_id is None for r in got) == 30
+    prints = {t: r.fingerprint for (i, t) in rows for r in got if r.doc_id == i and i is not None}
+    again = P.fingerprint_documents(spark.createDataFrame([(7, t) for _, t in rows], "doc_id long, text string")).collect()
+    assert set(prints.values()) <= {r.fingerprint for r in again} and {r.fingerprint for r in again} == {r.fingerprint for r in got}

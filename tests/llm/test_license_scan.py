@@ -173,3 +173,12 @@ def test_known_sentences_are_single_and_normalised_alike(spark):
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert L.scan(spark.createDataFrame([(1, "\n" * 500_000 + "a")], "doc_id long, text string")).first().hits == []
+
+
+def test_license_edges(spark):
+    rows = [(1, None), (2, ""), (3, "Released under the MIT License.\nX. Licensed under the Apache License, Version 2.0."), (None, "You may obtain a copy of the License at"), (4, "x. " * 200_000 + "\nReleased under the MIT License."), (3, "all rights reserved")]
+    got = L.scan(spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, hits int, residue string")).collect()
+    assert sorted((str(r.doc_id), list(r.licenses), list(r.residue)) for r in got) == [("1", [], []), ("2", [], []), ("3", [], ["all_rights"]), ("3", ["MIT", "Apache"], []), ("4", ["MIT"], []), ("None", [], ["apache_copy"])]
+    seq = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice\nRedistributions in binary form must reproduce the above copyright notice"
+    r = L.scan(spark.createDataFrame([(1, seq)], "doc_id long, text string")).first()
+    assert list(r.licenses) == ["BSD-2-Clause"] and len(r.hits) == 3

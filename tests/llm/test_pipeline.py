@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratalith.llm import chat_format, license_scan, simhash_dedup, toxicity
+from stratalith.llm import simhash_dedup, toxicity
 
 
 def corpus(folder):
@@ -79,29 +79,3 @@ def test_filters_take_nulls_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (None, "schuft", None)], "doc_id long, text string, _text string")
     assert toxicity.drop_toxic(docs, toxicity.train([], np.zeros(0, bool))).count() == 3
     assert simhash_dedup.keep_one(docs).count() == 2
-
-
-def test_license_edges(spark):
-    rows = [(1, None), (2, ""), (3, "Released under the MIT License.\nX. Licensed under the Apache License, Version 2.0."), (None, "You may obtain a copy of the License at"), (4, "x. " * 200_000 + "\nReleased under the MIT License."), (3, "all rights reserved")]
-    got = license_scan.scan(spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, hits int, residue string")).collect()
-    assert sorted((str(r.doc_id), list(r.licenses), list(r.residue)) for r in got) == [("1", [], []), ("2", [], []), ("3", [], ["all_rights"]), ("3", ["MIT", "Apache"], []), ("4", ["MIT"], []), ("None", [], ["apache_copy"])]
-    seq = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice\nRedistributions in binary form must reproduce the above copyright notice"
-    r = license_scan.scan(spark.createDataFrame([(1, seq)], "doc_id long, text string")).first()
-    assert list(r.licenses) == ["BSD-2-Clause"] and len(r.hits) == 3
-
-
-def test_chat_edges(spark):
-    t = lambda *x: [{"role": r, "text": s} for r, s in x]
-    rows = [(1, t(("user", "q"), ("assistant", "a")), t(("user", "q"), ("assistant", "b"))), (2, None, None), (3, t(("user", None)), t(("user", None))), (4, t(("system", "s")), []), (1, t(("user", "x" * 300_000)), t(("assistant", "é")))]
-    kind = "array<struct<role:string,text:string>>"
-    got = chat_format.format_preferences(spark.createDataFrame([(*r, "p") for r in rows], f"pair_id long, chosen {kind}, rejected {kind}, prompt string")).collect()
-    by = {(r.pair_id, r.n_prompt_turns): r for r in got}
-    r = by[1, 1]
-    assert r.prompt == "<|user|>\nq<|end|>\n" and r.chosen_completion == "<|assistant|>\na<|end|>\n"
-    assert [r.chosen_completion[m.start : m.end] for m in r.chosen_mask] == ["a<|end|>"] and [r.rejected_completion[m.start : m.end] for m in r.rejected_mask] == ["b<|end|>"]
-    assert by[2, 0].prompt == by[2, 0].chosen_completion == "" and by[3, 1].chosen_completion == "" and by[4, 0].rejected_completion == ""
-    r = by[1, 0]
-    assert [r.rejected_completion[m.start : m.end] for m in r.rejected_mask] == ["é<|end|>"]
-    conv = spark.createDataFrame([(0, 1, "assistant", "a"), (0, 0, "user", "u"), (1, 0, "assistant", "b"), (2, 0, "user", "only"), (None, 0, "user", "lost"), (5, 0, "user", "odd")], "conv_id long, turn long, role string, text string")
-    p = {r.pair_id: ([x.text for x in r.chosen], [x.text for x in r.rejected]) for r in chat_format.pairs_from_conversations(conv).collect()}
-    assert p == {0: (["u", "a"], ["u", "b"]), 1: (["only"], ["only"])}

@@ -58,3 +58,24 @@ def test_round_trip(spark, monkeypatch):
             cut = np.split(ids, np.cumsum(n)[:-1])
             assert [c.tolist() for c in cut] == [lib.encode(t, add_special_tokens=False).ids for t in part]
     assert T.encode_documents(spark, df.where("doc_id < 0")).collect() == []
+
+
+def test_a_tokenizer_that_normalises_gets_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, lib = T.Encoder(path), Tokenizer.from_file(path)
+    texts = ["The  Quick\nbrown fox's café cafe\u0301", "", "A,b  c", "ONE two"] * 3
+    raw, off = buffers(pa.array(texts))
+    ids, n = e.encode(raw, off)
+    assert not e.cuts and [c.tolist() for c in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_many_rows_without_an_id(spark):
+    rnd = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, "".join(rnd.choice("ab ,é") for _ in range(rnd.randint(0, 30)))) for i in range(120)]
+    got = [tuple(r) for r in T.digest(T.encode_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"))).collect()]
+    lib = Tokenizer.from_file(PATH)
+    want = sorted((str(i), len(lib.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted((str(g[0]), g[2]) for g in got) == want
+    ends = sorted((g[1], g[1] + g[2]) for g in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    assert all(g[0] is None for g in sorted(got, key=lambda g: g[1])[80:])
