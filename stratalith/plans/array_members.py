@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from stratalith.functions import arrays as Y, types as K
-from stratalith.plans.catalog import query, table
+from stratalith.plans.catalog import listed, query, table
 from stratalith.plans.scalar_members import BASES, lit, member
 
 r6 = lambda a: F.transform(a, lambda v: F.round(v, 6) + 0.0)
@@ -95,9 +95,9 @@ def _(s, d):
     return _ints(s, d).select("p_partkey", F.explode(F.transform("x", lambda v: v * 2)).alias("y"))
 
 
-@query("Y49_to_vector", "SELECT p_size, list(p_partkey ORDER BY p_partkey) AS y FROM part GROUP BY 1")
+@query("Y49_to_vector", "SELECT p_size, string_agg(p_partkey, ',' ORDER BY p_partkey) AS y FROM part GROUP BY 1")
 def _(s, d):
-    return table(s, d, "part").groupBy("p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("y"))
+    return table(s, d, "part").groupBy("p_size").agg(listed(F.array_sort(F.collect_list("p_partkey")), "list").alias("y"))
 
 
 @query("Y76_xrange", "SELECT range AS i FROM range(3, 40, 4)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def listed(y: Column, kind: str) -> Column:
+    """A list as text, so that any two engines' results compare: list, floats (six digits), nested or nested_floats."""
+    if kind.startswith("nested"):
+        return F.array_join(F.transform(y, lambda r: listed(r, "floats" if "floats" in kind else "list")), ";")
+    return F.array_join(F.transform(y, lambda v: F.format_string("%.6f", v) if kind == "floats" else v.cast("string")), ",")
+
+
+def listed_sql(y: str, kind: str) -> str:
+    """The same in DuckDB."""
+    one = lambda x, k: f"array_to_string(list_transform({x}, lambda v: {'printf(' + chr(39) + '%.6f' + chr(39) + ', v::DOUBLE)' if k == 'floats' else 'v::VARCHAR'}), ',')"
+    if kind.startswith("nested"):
+        return f"array_to_string(list_transform({y}, lambda r: {one('r', 'floats' if 'floats' in kind else 'list')}), ';')"
+    return one(f"({y})", kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalith.functions import stats
 from stratalith.operators import frame, functional, grouping, joins, order, timeseries
 from stratalith.operators.shapes import Frame, Index, Series
-from stratalith.plans.catalog import query, table
+from stratalith.plans.catalog import listed, listed_sql, query, table
 from stratalith.plans.frame_queries import SER, parts, series
 
 #: nation and part, as ordered frames
@@ -73,9 +73,9 @@ add("P27_drop_column", "SELECT p_partkey, p_retailprice FROM part", lambda s, d:
 add("P31_as_matrix", "SELECT sum(n_nationkey)::DOUBLE AS a, sum(n_regionkey)::DOUBLE AS b FROM nation", lambda s, d: (lambda m: one(s, a=float(m[:, 0].sum()), b=float(m[:, 1].sum())))(nation(s, d)[["n_nationkey", "n_regionkey"]].as_matrix()))
 add("P32_is_empty", "SELECT false AS full_, true AS none", lambda s, d: one(s, full_=part(s, d).is_empty(), none=Frame.of_columns(s, {}).is_empty()))
 add("P33_row", f"SELECT p_partkey, p_size, p_retailprice FROM ({POS}) WHERE i = 7", lambda s, d: s.createDataFrame([part(s, d)[7]], parts(s, d).schema))
-add("P35_row_apply", "SELECT n_nationkey, [n_nationkey * 2, n_regionkey * 2] AS y FROM nation", lambda s, d: table(s, d, "nation").select("n_nationkey", F.transform(F.array("n_nationkey", "n_regionkey"), lambda v: v * 2).alias("y")))
-add("P36_row_major", f"SELECT i, [n_nationkey, n_regionkey] AS y FROM ({NATION})", lambda s, d: nation(s, d)[["n_nationkey", "n_regionkey"]].row_major().select(F.col("_ix").alias("i"), F.col("x").alias("y")))
-add("P37_row_major_minus", f"SELECT i, [n_nationkey - n_regionkey, n_regionkey - n_nationkey] AS y FROM ({NATION})", lambda s, d: (lambda f: f[["n_nationkey", "n_regionkey"]].row_difference(Frame(f[["n_regionkey", "n_nationkey"]].df.toDF("_ix", "n_nationkey", "n_regionkey"))).select(F.col("_ix").alias("i"), F.col("x").alias("y")))(nation(s, d)))
+add("P35_row_apply", f"SELECT n_nationkey, {listed_sql('[n_nationkey * 2, n_regionkey * 2]', 'list')} AS y FROM nation", lambda s, d: table(s, d, "nation").select("n_nationkey", listed(F.transform(F.array("n_nationkey", "n_regionkey"), lambda v: v * 2), "list").alias("y")))
+add("P36_row_major", f"SELECT i, {listed_sql('[n_nationkey, n_regionkey]', 'list')} AS y FROM ({NATION})", lambda s, d: nation(s, d)[["n_nationkey", "n_regionkey"]].row_major().select(F.col("_ix").alias("i"), listed(F.col("x"), "list").alias("y")))
+add("P37_row_major_minus", f"SELECT i, {listed_sql('[n_nationkey - n_regionkey, n_regionkey - n_nationkey]', 'list')} AS y FROM ({NATION})", lambda s, d: (lambda f: f[["n_nationkey", "n_regionkey"]].row_difference(Frame(f[["n_regionkey", "n_nationkey"]].df.toDF("_ix", "n_nationkey", "n_regionkey"))).select(F.col("_ix").alias("i"), listed(F.col("x"), "list").alias("y")))(nation(s, d)))
 add("P38_series_ctor", "SELECT * FROM (VALUES (0, 4.5::DOUBLE), (1, 2.5)) t(i, y)", lambda s, d: rows(Series.of(s, [4.5, 2.5])))
 add("P39_series_uniform", "SELECT range AS i, 7 AS y FROM range(12)", lambda s, d: rows(Series.uniform(s, 7, 12)))
 add("P41_series_equals", "SELECT true AS same, false AS other", lambda s, d: (lambda x: one(s, same=x.equals(x), other=x.equals(x.apply(lambda v: v + 1))))(sizes(s, d)))
@@ -125,7 +125,7 @@ add("J3_partition_column", "SELECT key, count(*) AS n FROM (SELECT o_custkey AS
 add("J4_slices", "SELECT key, a.n * b.n AS pairs FROM (SELECT c_custkey * 2 AS key, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1) b USING (key)", lambda s, d: (lambda a, b: a.groupBy("key").agg(F.count("*").alias("a")).join(b.groupBy("key").agg(F.count("*").alias("b")), "key").select("key", (F.col("a") * F.col("b")).alias("pairs")))(*customer_orders(s, d)))
 add("J5_column_names", "SELECT unnest(['c_name_l', 'o_totalprice_r', 'key']) AS name", lambda s, d: s.createDataFrame([(c,) for c in joins.join(*customer_orders(s, d), on="key", how="inner", left_suffix="_l", right_suffix="_r", ordered=False).columns], "name string"))
 add("J10_key_column", "SELECT key FROM (SELECT c_custkey * 2 AS key FROM customer) FULL JOIN (SELECT o_custkey AS key FROM orders) USING (key)", lambda s, d: joins.join(*customer_orders(s, d), on="key", how="outer", ordered=False).select("key"))
-add("J12_vector_dictionary", "SELECT p_size, list(p_partkey ORDER BY p_partkey) AS y FROM part GROUP BY 1", lambda s, d: parts(s, d).groupBy("p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("y")))
+add("J12_vector_dictionary", "SELECT p_size, string_agg(p_partkey, ',' ORDER BY p_partkey) AS y FROM part GROUP BY 1", lambda s, d: parts(s, d).groupBy("p_size").agg(listed(F.array_sort(F.collect_list("p_partkey")), "list").alias("y")))
 add("J13_search_sorted", "SELECT count(*) FILTER (p_retailprice < 1234.5) AS lower, count(*) FILTER (p_retailprice <= 1234.5) AS upper FROM part", lambda s, d: joins.bounds(parts(s, d), "p_retailprice", 1234.5))
 add("J15_upper_bound", "SELECT count(*) FILTER (p_size <= 20) AS upper FROM part", lambda s, d: joins.bounds(parts(s, d), "p_size", 20).select("upper"))
 
@@ -218,7 +218,7 @@ add("V11_out_of_process", "SELECT count(*) AS n, true AS elsewhere FROM region",
 add("V12_map_over_list", "SELECT i, i * i AS y FROM (SELECT range AS i FROM range(20))", lambda s, d: s.range(20).select(F.col("id").alias("i"), (F.col("id") * F.col("id")).alias("y")))
 add("V15_eval", "SELECT p_size, count(*) AS n FROM part GROUP BY 1", lambda s, d: functional.evaluate(s, "SELECT p_size, count(*) AS n FROM {p} GROUP BY p_size", p=parts(s, d)))
 add("V13_inline_function", "SELECT p_partkey, p_size * 2 + p_retailprice AS y FROM part", lambda s, d: parts(s, d).select("p_partkey", functional.inline(s, "twice_and", "x int, y double", "double", "x * 2 + y")("p_size", "p_retailprice").alias("y")))
-add("V14_type_mapping", "SELECT n_nationkey, [1.5::DOUBLE, 2.5] AS y FROM nation", lambda s, d: (functional.mapping(np.ndarray, lambda v: functional.lower(v.tolist())), table(s, d, "nation").select("n_nationkey", functional.lower(np.array([1.5, 2.5])).alias("y")))[1])
+add("V14_type_mapping", "SELECT n_nationkey, '1.500000,2.500000' AS y FROM nation", lambda s, d: (functional.mapping(np.ndarray, lambda v: functional.lower(v.tolist())), table(s, d, "nation").select("n_nationkey", listed(functional.lower(np.array([1.5, 2.5])), "floats").alias("y")))[1])
 add("V16_locality", "SELECT p_size, count(*) AS n FROM part GROUP BY 1", lambda s, d: functional.local(parts(s, d), "p_size").groupBy("p_size").agg(F.count("*").alias("n")))
 add("Z15_paged", "SELECT ceil(count(*) / 100.0)::BIGINT AS pages, count(*) AS n FROM part", lambda s, d: functional.paged(parts(s, d), 100).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).agg(F.count("*").alias("pages"), F.sum("c").alias("n")))
 

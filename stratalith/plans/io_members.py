@@ -201,7 +201,7 @@ for _name, (_f, _mean, _var) in DRAWS.items():
     add(_name, f"SELECT {N} AS n, true AS place, true AS spread", lambda s, d, f=_f, m=_mean, v=_var: _fits(s, f, m, v))
 # the published first word for seed 5489, and words of the recurrence worked out by hand
 add("R16_mersenne_twister", "SELECT 3499211612 AS word", lambda s, d: one(s, word=int(R.MersenneTwister(5489).uint32(1)[0])))
-add("R17_multiply_with_carry", "SELECT (4294957665::HUGEINT * 7 + 362436)::HUGEINT % 4294967296 AS a", lambda s, d: one(s, a=R.multiply_with_carry(7, 1)[0]))
+add("R17_multiply_with_carry", "SELECT ((4294957665::HUGEINT * 7 + 362436)::HUGEINT % 4294967296)::BIGINT AS a", lambda s, d: one(s, a=R.multiply_with_carry(7, 1)[0]))
 add("R28_random_state", "SELECT '0.374540' AS a, '0.950714' AS b", lambda s, d: (lambda v: one(s, a=f"{v[0]:.6f}", b=f"{v[1]:.6f}"))(R.MersenneTwister(42).rand(2)))
 
 # ------------------------------------------------------------------------------ assertions and plots

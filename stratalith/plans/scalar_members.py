@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from stratalith.functions import arrays as Y, dates as D, mathfn as M, text as N
-from stratalith.plans.catalog import query, table
+from stratalith.plans.catalog import listed, listed_sql, query, table
 
 #: base: table, key, column over it in DuckDB and in Spark.
 BASES = {
@@ -33,15 +33,24 @@ BASES = {
 }
 
 
+#: Members that give lists; they are compared as text.
+LISTS = {
+    "list": "O15 N3 N33 N61 N66 N67 N69 N70 Y17 Y18 Y22 Y62 Y64 N35 Y2 D24 F18 F19 F22 U4 U5 U6 Y1 Y3 Y7 Y8 Y9 Y10 Y12 Y34 Y36 Y37 Y41 Y42 Y43 Y44 Y45 Y46 Y47 Y48 Y50 Y14 Y19 Y63 Y24 Y27 Y30 Y31 Y53 Y55 Y60 Y75 Y77 Y97 Y93".split(),
+    "floats": "M21 M22 Y81 Y82 Y87 Y88 Y89 Y90 Y91 Y92 Y94 Y95 Y96".split(), "nested": ["F23"], "nested_floats": ["Y83", "Y84"],
+}
+KIND = {i: kind for kind, ids in LISTS.items() for i in ids}
+
+
 def member(name: str, base: str, sql: str, f, digits: int | None = None) -> None:
     """Register f over the base's column, beside the base's key; doubles rounded to `digits` (and no negative zero)."""
     source, keys, x_sql, x = BASES[base]
-    y_sql = sql.replace("{x}", "x")
+    y_sql, kind = sql.replace("{x}", "x"), KIND.get(name.split("_")[0])
+    y_sql = listed_sql(y_sql, kind) if kind else y_sql
     y_sql = y_sql if digits is None else f"round(({y_sql})::DOUBLE, {digits}) + 0.0"
 
     @query(name, f"SELECT {keys}, {y_sql} AS y FROM (SELECT *, {x_sql} AS x FROM {source})")
     def _(s, d):
-        y = f(F.col("x"))
+        y = listed(f(F.col("x")), kind) if kind else f(F.col("x"))
         keyed = table(s, d, source).select(*keys.split(", "), x().alias("x"))
         return keyed.select(*keys.split(", "), (y if digits is None else F.round(y.cast("double"), digits) + 0.0).alias("y"))
 
