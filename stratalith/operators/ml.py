@@ -237,21 +237,30 @@ def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 300, tol: float = 1
                 x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims))
                 for j, w in enumerate(which):
                     at, far = near(x, centers[w])
-                    np.add.at(total[j], at, x)
+                    total[j] += (at == np.arange(k)[:, None]).astype(float) @ x
                     n[j] += np.bincount(at, minlength=k)
                     cost[j] += np.bincount(at, far, minlength=k)
-            rows = [(w, c, *total[j, c], n[j, c], cost[j, c]) for j, w in enumerate(which) for c in range(k)]
-            yield pd.DataFrame(rows, columns=["w", "c", *(f"s{x}" for x in range(dims)), "n", "cost"])
+            rows = [(w, c, [*total[j, c], n[j, c], cost[j, c]]) for j, w in enumerate(which) for c in range(k)]
+            yield pd.DataFrame(rows, columns=["w", "c", "s"])
 
-        schema = "w int, c int, " + ", ".join(f"s{x} double" for x in range(dims)) + ", n double, cost double"
-        return d.mapInPandas(run, schema).groupBy("w", "c").agg(*(F.sum(f"s{x}").alias(f"s{x}") for x in range(dims)), F.sum("n").alias("n"), F.sum("cost").alias("cost")).collect()
+        def together(batches):
+            held: dict[tuple, np.ndarray] = {}
+            for b in batches:
+                for w, c, s in b.itertuples(index=False, name=None):
+                    held[w, c] = held[w, c] + s if (w, c) in held else np.array(s)
+            if held:
+                yield pd.DataFrame([(w, c, s.tolist()) for (w, c), s in held.items()], columns=["w", "c", "s"])
+
+        schema = "w int, c int, s array<double>"
+        return d.mapInPandas(run, schema).repartition("w", "c").mapInPandas(together, schema).collect()
 
     for step in range(rounds + 1):
         new, cost = centers.copy(), np.zeros(starts)
         for r in sums(centers, live):
-            cost[r.w] += r.cost
-            if r.n:
-                new[r.w, r.c] = [r[f"s{x}"] / r.n for x in range(dims)]
+            *total, n, far = r.s
+            cost[r.w] += far
+            if n:
+                new[r.w, r.c] = np.array(total) / n
         for w in live:
             inertia[w] = cost[w]
         if step == rounds:
