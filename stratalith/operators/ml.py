@@ -13,25 +13,47 @@ from stratalith.plans.session import cut
 
 
 class LinearRegression:
-    """Least squares by the normal equations; one pass for the cross products."""
+    """Least squares by the normal equations; one pass for means and central products, so that no small sum of squares is a difference of large ones."""
 
     def __init__(self, df: DataFrame, predictors: list[str], response: str, intercept: bool = True):
         names = predictors + (["_one"] if intercept else [])
-        d = df.withColumn("_one", F.lit(1.0)).where(" and ".join(f"`{c}` is not null" for c in predictors + [response]))
-        both = names + [response]
-        pairs = [(i, j) for i in range(len(both)) for j in range(i, len(both))]
-        row = d.agg(*(F.sum(F.col(both[i]).cast("double") * F.col(both[j])).alias(f"s{i}_{j}") for i, j in pairs), F.count("*").alias("n")).first()
-        m = np.zeros((len(both),) * 2)
+        d = df.where(" and ".join(f"`{c}` is not null" for c in predictors + [response]))
+        given = predictors + [response]
+        c = [F.col(g).cast("double") for g in given]
+        pairs = [(i, j) for i in range(len(c)) for j in range(i, len(c))]
+        row = d.agg(*(F.covar_pop(c[i], c[j]).alias(f"s{i}_{j}") for i, j in pairs), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(c)), F.count("*").alias("n")).first()
+        self.n, self.k, self.names, self.intercept, self.response = row.n, len(names), names, intercept, response
+        central, p = np.zeros((len(c),) * 2), len(predictors)
         for i, j in pairs:
-            m[i, j] = m[j, i] = row[f"s{i}_{j}"] or 0.0
-        k = len(names)
-        self.n, self.k, self.names, self.intercept, self.response = row.n, k, names, intercept, response
-        self.xtx, self.xty, self.yty = m[:k, :k], m[:k, k], m[k, k]
-        self.mean_y = m[k, k - 1] / self.n if intercept else math.nan
-        self.pinv = np.linalg.pinv(self.xtx)
-        self.coefficients = self.pinv @ self.xty
-        self.rss = float(self.yty - self.coefficients @ self.xty)
-        self.tss = float(self.yty - self.n * self.mean_y**2) if intercept else float(self.yty)
+            central[i, j] = central[j, i] = (row[f"s{i}_{j}"] or 0.0) * self.n
+        mean = np.array([row[f"m{i}"] or 0.0 for i in range(len(c))])
+        raw = central + self.n * np.outer(mean, mean)
+        ones = np.append(mean[:p], 1.0)
+        self.xtx, self.xty, self.yty = raw[:p, :p], raw[:p, p], raw[p, p]
+        if intercept:
+            self.xtx = np.block([[self.xtx, self.n * mean[:p, None]], [self.n * ones]])
+            self.xty = np.append(self.xty, self.n * mean[p])
+        self.mean_y = float(mean[p]) if intercept else math.nan
+        inverse = self._inverse(central[:p, :p]) if intercept and self.n else None
+        if inverse is None:  # the shortest of the solutions
+            self.pinv = np.linalg.pinv(self.xtx)
+            self.coefficients = self.pinv @ self.xty
+        else:
+            slopes, turned = inverse @ central[:p, p], inverse @ mean[:p]
+            self.pinv = np.block([[inverse, -turned[:, None]], [-turned, np.array([1 / self.n + mean[:p] @ turned])]])
+            self.coefficients = np.append(slopes, mean[p] - slopes @ mean[:p])
+        self.tss = float(central[p, p]) if intercept else float(self.yty)
+        self.model_sum_of_squares = float(self.coefficients[:p] @ (central[:p, p] if intercept else self.xty))
+        self.rss = self.tss - self.model_sum_of_squares
+
+    @staticmethod
+    def _inverse(central: np.ndarray) -> np.ndarray | None:
+        """By the correlations, so that the predictors' scales don't matter; None where they depend on one another."""
+        scale = np.sqrt(np.diag(central))
+        if not (scale > 0).all():
+            return None
+        correlation = central / np.outer(scale, scale)
+        return np.linalg.inv(correlation) / np.outer(scale, scale) if np.linalg.matrix_rank(correlation) == len(scale) else None
 
     def predict(self) -> Column:
         return sum((F.col(c) * float(b) if c != "_one" else F.lit(float(b)) for c, b in zip(self.names, self.coefficients)), F.lit(0.0))
@@ -56,17 +78,16 @@ class LinearRegression:
 
     def f_stat(self) -> float:
         p = self.k - int(self.intercept)
-        return (self.tss - self.rss) / p / (self.rss / (self.n - self.k))
+        return self.model_sum_of_squares / p / (self.rss / (self.n - self.k))
 
     # degrees of freedom and sums of squares
     df_total = property(lambda m: m.n - int(m.intercept))
     df_model = property(lambda m: m.k - int(m.intercept))
     df_residual = property(lambda m: m.n - m.k)
-    model_sum_of_squares = property(lambda m: m.tss - m.rss)
     total_sum_of_squares = property(lambda m: m.tss)
     residual_sum_of_squares = property(lambda m: m.rss)
     mean_total = property(lambda m: m.tss / m.df_total)
-    mean_model = property(lambda m: (m.tss - m.rss) / m.df_model)
+    mean_model = property(lambda m: m.model_sum_of_squares / m.df_model)
     mean_residual = property(lambda m: m.rss / m.df_residual)
 
     def is_full_rank(self) -> bool:
